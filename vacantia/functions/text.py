@@ -79,7 +79,7 @@ def _accent_map() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without accents: ``Café`` → ``cafe``."""
     source, target = _accent_map()
-    return F.translate(F.lower(text), F.lit(source), F.lit(target))
+    return F.translate(F.lower(text), source, target)
 
 
 def spaced_tokens(text: Column) -> Column:

@@ -8,7 +8,7 @@ inverted index (:func:`search_index`). :func:`from_text` reads the usual one-lin
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,9 +40,20 @@ class Condition:
     def holds(self, evidence: Evidence) -> Column:
         raise NotImplementedError
 
-    def scan(self, fields: Sequence[str] = C.INDEXED_FIELDS) -> Column:
-        """Predicate that reads the text fields themselves."""
-        return self.holds(lambda atom: atom.scan(fields))
+    def scan(self, texts: Mapping[str, Column]) -> Column:
+        """Predicate that reads the text fields themselves.
+
+        The folded texts are bound to a lambda variable, so each is computed once per row
+        however many words are asked for.
+        """
+        names = list(texts)
+        folded = F.array(*[F.coalesce(spaced_tokens(t), F.lit(" ")) for t in texts.values()])
+
+        def verdict(bound: Column) -> Column:
+            fields = {name: bound[i] for i, name in enumerate(names)}
+            return self.holds(lambda atom: atom.found_in(fields))
+
+        return F.exists(F.array(folded), verdict)
 
 
 @dataclass(frozen=True)
@@ -102,23 +113,21 @@ class Atom(Condition):
     def covers(self, field: str) -> bool:
         return self.field in (None, field)
 
-    def scan(self, fields: Sequence[str] = C.INDEXED_FIELDS) -> Column:
-        hits = [self._scan_field(name) for name in fields if self.covers(name)]
-        found = reduce(lambda a, b: a | b, hits, F.lit(False))
-        return F.coalesce(found, F.lit(False))
+    def found_in(self, spaced: Mapping[str, Column]) -> Column:
+        hits = [self._found(text) for name, text in spaced.items() if self.covers(name)]
+        return reduce(lambda a, b: a | b, hits, F.lit(False))
 
-    def _scan_field(self, name: str) -> Column:
-        text = spaced_tokens(F.col(name))
+    def _found(self, text: Column) -> Column:
         if self.gap is None:
             needle = " " + " ".join(self.words) + ("" if self.prefix else " ")
             return F.contains(text, F.lit(needle))
-        order = {word: i for i, word in enumerate(self.words)}
+        asked = F.array(*[F.lit(w) for w in self.words])
         marks = F.transform(
             F.split(F.trim(text), " "),
-            lambda t, i: F.struct(i.alias("at"), F.array_position(
-                F.lit(list(order)), t).cast("int").alias("which")),
+            lambda t, i: F.struct(
+                i.alias("at"), F.array_position(asked, t).cast("int").alias("which")),
         )
-        return _within(F.filter(marks, lambda m: m["which"] > 0), len(order), self.gap)
+        return _within(F.filter(marks, lambda m: m["which"] > 0), len(self.words), self.gap)
 
 
 def _within(marks: Column, kinds: int, gap: int) -> Column:
@@ -210,12 +219,20 @@ def from_text(text: str) -> Condition:
     return reduce(lambda a, b: a | b, [conjunction(p) for p in split(text, "OR")])
 
 
+def field_texts(
+    jobs: DataFrame, fields: Sequence[str] = C.INDEXED_FIELDS
+) -> dict[str, Column]:
+    """Searchable text per field; a list counts as its items side by side."""
+    lists = {f.name for f in jobs.schema.fields if f.dataType.typeName() == "array"}
+    return {f: F.array_join(f, " ") if f in lists else F.col(f) for f in fields}
+
+
 def search_scan(
     jobs: DataFrame, condition: Condition, key: str = "job_id",
     fields: Sequence[str] = C.INDEXED_FIELDS,
 ) -> DataFrame:
-    """Matching keys by reading the text; each text is folded once per field."""
-    return jobs.filter(condition.scan(fields)).select(key)
+    """Matching keys by reading the text."""
+    return jobs.filter(condition.scan(field_texts(jobs, fields))).select(key)
 
 
 def search_index(
@@ -248,6 +265,14 @@ def search_index(
     return flags.filter(verdict).select(key)
 
 
+def _marked(positions: Column, which: int) -> Column:
+    return F.transform(positions, lambda p: F.struct(p.alias("at"), F.lit(which).alias("which")))
+
+
+def _moved_back(positions: Column, steps: int) -> Column:
+    return F.transform(positions, lambda p: p - steps)
+
+
 def _index_hit(atom: Atom) -> Column:
     """Does the atom hold in this (key, field) group?"""
     token = F.col("token")
@@ -259,16 +284,12 @@ def _index_hit(atom: Atom) -> Column:
     if len(atom.words) == 1:
         hit = F.max(last_is)
     elif atom.gap is not None:
-        marks = [
-            F.transform(positions(w), lambda p, i=i: F.struct(
-                p.alias("at"), F.lit(i + 1).alias("which")))
-            for i, w in enumerate(atom.words)
-        ]
+        marks = [_marked(positions(w), i + 1) for i, w in enumerate(atom.words)]
         hit = _within(F.array_sort(F.concat(*marks)), len(atom.words), atom.gap)
     else:
         tail = F.flatten(F.collect_list(F.when(last_is, F.col("positions"))))
         starts = [positions(w) for w in atom.words[:-1]] + [tail]
-        aligned = [F.transform(p, lambda x, i=i: x - i) for i, p in enumerate(starts)]
+        aligned = [_moved_back(p, i) for i, p in enumerate(starts)]
         hit = F.size(reduce(F.array_intersect, aligned)) > 0
     if atom.field is not None:
         hit = hit & (F.col("field") == atom.field)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.text import tokens
+from vacantia.operators.keywords import field_texts
 
 POSTING_COLUMNS = ["token", "field", "job_id", "positions"]
 
@@ -22,12 +23,10 @@ def build_index(
     aggregate already builds the final lists; a token found everywhere is spread over the
     shuffle by its postings' keys.
     """
-    parts = []
-    for name in fields:
-        text = F.col(name)
-        if jobs.schema[name].dataType.typeName() == "array":
-            text = F.array_join(text, " ")
-        parts.append(F.struct(F.lit(name).alias("field"), tokens(text).alias("words")))
+    parts = [
+        F.struct(F.lit(name).alias("field"), tokens(text).alias("words"))
+        for name, text in field_texts(jobs, fields).items()
+    ]
     per_field = jobs.select(key, F.explode(F.array(*parts)).alias("_f"))
     words = per_field.select(
         key, F.col("_f.field").alias("field"), F.posexplode("_f.words").alias("position", "token")

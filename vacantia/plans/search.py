@@ -71,7 +71,7 @@ def matching(
             if isinstance(wanted.keywords, str) else wanted.keywords
         )
         if index is None:
-            found = found.filter(condition.scan())
+            found = found.filter(condition.scan(keywords.field_texts(found)))
         else:
             hits = keywords.search_index(index, condition)
             found = found.join(hits, "job_id", "left_semi")

@@ -8,6 +8,7 @@ job reads search cards, detail pages, or any other layout.
 from __future__ import annotations
 
 import html as html_lib
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -17,8 +18,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-import sys
-
 from vacantia.functions.text import last_urn_part
 
 
@@ -162,8 +161,10 @@ class _PageReader(HTMLParser):
         for capture in self.active:
             self.found[capture.group.name].append(capture.values)
         self.silent = 0
+        self.pending: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._flush()
         named = {key: value or "" for key, value in reversed(attrs)}
         depth = len(self.elements)
         for group in self.groups:
@@ -186,6 +187,7 @@ class _PageReader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        self._flush()
         depth = next(
             (i for i in range(len(self.elements) - 1, -1, -1) if self.elements[i][0] == tag), None
         )
@@ -195,6 +197,16 @@ class _PageReader(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
+            self.pending.append(data)
+
+    def handle_comment(self, data: str) -> None:
+        self._flush()
+
+    def _flush(self) -> None:
+        """Pieces of one text node arrive separately around a stray ``<``."""
+        if self.pending:
+            data = "".join(self.pending)
+            self.pending.clear()
             for capture in self.active:
                 capture.text(data)
 
@@ -207,6 +219,7 @@ class _PageReader(HTMLParser):
 
     def finish(self) -> dict[str, list[dict]]:
         self.close()
+        self._flush()
         self._leave(0, "")
         return self.found
 
@@ -270,16 +283,19 @@ def pivot_criteria(criteria: Column, columns=CRITERIA_COLUMNS) -> dict[str, Colu
     An item belongs to the first column whose word it holds; of several items for one column
     the last one stands. The items are in the row already, so nothing is shuffled.
     """
-    result, earlier = {}, []
-    for name, word, lower_label in columns:
-        def mine(item: Column, word=word, earlier=tuple(earlier)) -> Column:
+    def belongs(word: str, earlier: list[str]):
+        def test(item: Column) -> Column:
             label = F.lower(item["label"])
             hit = F.contains(label, F.lit(word)) & item["value"].isNotNull()
             for other in earlier:
                 hit = hit & ~F.contains(label, F.lit(other))
             return hit
 
-        last = F.try_element_at(F.filter(criteria, mine), F.lit(-1))
+        return test
+
+    result, earlier = {}, []
+    for name, word, lower_label in columns:
+        last = F.try_element_at(F.filter(criteria, belongs(word, list(earlier))), F.lit(-1))
         label = F.lower(last["label"]) if lower_label else last["label"]
         result[name] = F.concat(label, F.lit("\n"), last["value"])
         earlier.append(word)

@@ -92,10 +92,10 @@ def ingest_handler(
             fresh.select(key).distinct(), key, "left_semi"
         )
         previous = latest_by_key(before, key, [BATCH, *order]).drop(BATCH)
-        both = fresh.withColumn("_seq", F.lit(1)).unionByName(
-            previous.withColumn("_seq", F.lit(0))
-        )
-        edits = change_log(both, key, time, fields, tie_break=["_seq", *tie_break])
+        # Arrival decides: the stored state goes before the batch whatever its own time says.
+        earliest = F.lit("0001-01-01").cast(schema[time].dataType)
+        both = fresh.unionByName(previous.withColumn(time, earliest))
+        edits = change_log(both, key, time, fields, tie_break)
         write_batch(edits, changes_path, batch_id)
 
     return handle
