@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 from collections.abc import Iterable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,15 +40,17 @@ def normalize_company(name: Column, suffixes: Iterable[str] = C.COMPANY_SUFFIXES
 def mentions_any(text: Column, keywords: Iterable[str]) -> Column:
     """True when the lower-cased text holds one of the substrings; never NULL.
 
-    A keyword that contains another one can add nothing, so it is left out of the plan.
+    A keyword that contains another one can add nothing, so it is left out of the plan. The
+    lower-cased text is bound to a lambda variable: computed once, whatever the keyword count.
     """
     words = list(dict.fromkeys(keywords))
     needed = [w for w in words if not any(o != w and o in w for o in words)]
     lowered = F.lower(present_text(text))
-    hit = F.lit(False)
-    for word in needed:
-        hit = hit | F.contains(lowered, F.lit(word))
-    return F.coalesce(hit, F.lit(False))
+
+    def hit(bound: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(bound, F.lit(w)) for w in needed])
+
+    return F.coalesce(F.exists(F.array(lowered), hit), F.lit(False))
 
 
 def is_remote(description: Column, keywords: Iterable[str] = C.REMOTE_KEYWORDS) -> Column:
@@ -77,9 +79,13 @@ def _accent_map() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents: ``Café`` → ``cafe``."""
+    """Lower case without accents: ``Café`` → ``cafe``.
+
+    Text of one byte per character has no accents and skips the translation.
+    """
     source, target = _accent_map()
-    return F.translate(F.lower(text), source, target)
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), source, target))
 
 
 def spaced_tokens(text: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.times import hours_before, instant
-from vacantia.operators.lookup import lookup
 
 _PREV, _ROW, _LAST, _SLICE = "_prev", "_row", "_last", "_slice"
 
@@ -90,5 +89,5 @@ def recent_changes(
 
 
 def changes_with_jobs(changes: DataFrame, jobs: DataFrame) -> DataFrame:
-    names = jobs.select("job_id", "title", "company")
-    return lookup(changes, names, "job_id", "inner", spread_by=["changed_at", "field_name"])
+    """Plain join: postings are many; a hot posting's edits are split by the adaptive join."""
+    return changes.join(jobs.select("job_id", "title", "company"), "job_id")

@@ -27,14 +27,14 @@ def fold_applications(
 
     ``apply`` on an unknown job and ``status`` before any ``apply`` have no effect. The first
     apply sets created_at, the last one applied_at; the last event sets status and notes, an
-    omitted note becoming the empty string.
+    omitted note becoming the empty string. Unknown jobs are dropped after the fold, when each
+    job is one row.
     """
-    known = lookup(events, jobs.select("job_id"), "job_id", "left_semi", spread_by=[time, *tie_break])
     order = F.struct(time, *tie_break)
     applies = F.col("action") == "apply"
     status = F.when(applies, F.lit("applied")).otherwise(F.col("status"))
-    return (
-        known.groupBy("job_id")
+    folded = (
+        events.groupBy("job_id")
         .agg(
             F.max(F.when(applies, F.col(time))).alias("applied_at"),
             F.max_by(status, order).alias("status"),
@@ -44,6 +44,7 @@ def fold_applications(
         )
         .filter(F.col("created_at").isNotNull())
     )
+    return folded.join(jobs.select("job_id"), "job_id", "left_semi")
 
 
 def rejected_application_events(

@@ -127,7 +127,8 @@ class Atom(Condition):
             lambda t, i: F.struct(
                 i.alias("at"), F.array_position(asked, t).cast("int").alias("which")),
         )
-        return _within(F.filter(marks, lambda m: m["which"] > 0), len(self.words), self.gap)
+        near = _within(F.filter(marks, lambda m: m["which"] > 0), len(self.words), self.gap)
+        return reduce(lambda a, b: a & b, [F.contains(text, F.lit(f" {w} ")) for w in self.words]) & near
 
 
 def _within(marks: Column, kinds: int, gap: int) -> Column:

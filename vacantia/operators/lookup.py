@@ -23,8 +23,10 @@ def lookup(
 
     With ``spread_by`` (columns that vary within a key) the rows of each key are spread over
     ``salts`` shuffle partitions and the entries are repeated as often, so a key that holds a
-    third of all facts is never one task. The entry side is the small one: its rows are one
-    per key. Spark still broadcasts it when its size estimate is under the session's limit.
+    third of all facts is never one task. Meant for entries that are few beside the facts
+    (companies, profiles); Spark still broadcasts them when their size estimate is under the
+    session's limit. Where the entries are many, use a plain join and leave hot keys to the
+    adaptive skew split, which repeats only the partitions concerned.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if not spread_by:

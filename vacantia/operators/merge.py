@@ -38,7 +38,7 @@ def upsert_replace(
     fresh = latest_by_key(batch, key, order).drop(
         *[c for c in ([order] if isinstance(order, str) else order) if c not in table.columns]
     )
-    kept = table.join(fresh.select(key), key, "left_anti")
+    kept = table.join(batch.select(key), key, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -129,15 +129,16 @@ def upsert_into(
     order: str | Sequence[str],
     buckets: int,
 ) -> None:
-    """K1 on stored Parquet: rewrite the touched buckets.
+    """:func:`upsert_replace` on stored Parquet: rewrite the touched buckets.
 
-    The new buckets are written to the shared folder first and copied in from there, so the
+    Only bucket numbers (at most ``buckets``) come to the driver, to prune the scan. The new buckets are written to the shared folder first and copied in from there, so the
     table is never read and overwritten by one job, and a failed copy can be repeated. With
     a table format that has MERGE INTO, use that instead.
     """
-    table = spark.read.parquet(path)
-    touched = batch.select(bucket_of(key, buckets).alias(BUCKET)).distinct()
-    current = table.join(touched, BUCKET, "left_semi").drop(BUCKET)
+    touched = [
+        row[0] for row in batch.select(bucket_of(key, buckets).alias(BUCKET)).distinct().collect()
+    ]
+    current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
     staged = work_dir(spark, "upsert")
     write_bucketed(upsert_replace(current, batch, key, order), staged, key, buckets)
     (

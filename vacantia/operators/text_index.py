@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
@@ -19,22 +19,39 @@ def build_index(
 ) -> DataFrame:
     """(token, field, key, positions): one row per distinct token of a field.
 
-    All occurrences of a token in one field lie in one input row, so the map-side step of the
-    aggregate already builds the final lists; a token found everywhere is spread over the
-    shuffle by its postings' keys.
+    All occurrences of a token in one field lie in one input row, so the lists are built there:
+    the index needs no shuffle, and a token found everywhere is never gathered anywhere.
     """
     parts = [
-        F.struct(F.lit(name).alias("field"), tokens(text).alias("words"))
+        F.struct(F.lit(name).alias("field"), _positions(tokens(text)).alias("entries"))
         for name, text in field_texts(jobs, fields).items()
     ]
     per_field = jobs.select(key, F.explode(F.array(*parts)).alias("_f"))
-    words = per_field.select(
-        key, F.col("_f.field").alias("field"), F.posexplode("_f.words").alias("position", "token")
-    )
-    return words.groupBy("token", "field", key).agg(
-        F.sort_array(F.collect_list("position")).alias("positions")
+    entries = per_field.select(key, F.col("_f.field").alias("field"), F.explode("_f.entries").alias("_e"))
+    return entries.select("_e.token", "field", key, "_e.positions")
+
+
+def _positions(words: Column) -> Column:
+    """Array of (token, positions) from an array of tokens: sort, then cut into equal runs."""
+    ordered = F.sort_array(
+        F.transform(words, lambda token, at: F.struct(token.alias("token"), at.alias("at")))
     )
 
+    def cut(sorted_words: Column) -> Column:
+        size = F.size(sorted_words)
+        heads = F.filter(
+            F.transform(sorted_words, lambda w, i: F.when(
+                (i == 0) | (w["token"] != F.get(sorted_words, i - 1)["token"]), i)),
+            lambda i: i.isNotNull(),
+        )
+        return F.transform(heads, lambda head, n: F.struct(
+            F.get(sorted_words, head)["token"].alias("token"),
+            F.slice(sorted_words, head + 1, F.coalesce(F.get(heads, n + 1), size) - head)["at"]
+            .alias("positions"),
+        ))
+
+    return F.flatten(F.transform(F.array(ordered), cut))
+
 
 def refresh_index(
     index: DataFrame, touched: DataFrame, key: str = "job_id",

@@ -18,9 +18,9 @@ def retention(
     return jobs.filter(F.col(time) >= seconds_before(instant(as_of), max_age_seconds))
 
 
-def cascade(children: DataFrame, parents: DataFrame, on: str, spread_by=None) -> DataFrame:
+def cascade(children: DataFrame, parents: DataFrame, on: str) -> DataFrame:
     """Child rows whose parent still exists."""
-    return lookup(children, parents.select(on).distinct(), on, "left_semi", spread_by)
+    return children.join(parents.select(on), on, "left_semi")
 
 
 def set_null_on_parent_delete(

@@ -8,20 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia import constants as C
 from vacantia.operators import report
 
 _TIME = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def _long(rows: DataFrame, section: str, names: list[str]) -> DataFrame:
-    """Columns of a one-row aggregate → (section, metric, value) rows."""
+def _long(rows: DataFrame, figures: list[tuple[str, str, str]]) -> DataFrame:
+    """A one-row aggregate → one row per (section, metric, column), from a single pass."""
     def text(name: str) -> Column:
         kind = rows.schema[name].dataType.typeName()
         column = F.date_format(name, _TIME) if kind.startswith("timestamp") else F.col(name)
         return column.cast("string")
 
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), text(n).alias("value")) for n in names])
-    return rows.select(F.lit(section).alias("section"), F.inline(pairs))
+    return rows.select(F.inline(F.array(*[
+        F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+                 text(name).alias("value"))
+        for section, metric, name in figures
+    ])))
 
 
 def analytics_report(
@@ -39,9 +43,12 @@ def analytics_report(
     result row waits for another. ``jobs`` is read with the few narrow columns it needs.
     """
     ages = report.age_counts(jobs, as_of)
-    by_status = report.jobs_by_status(jobs, applications)
-    app_total = report.total(applications, "applications")
-    applied = report.status_counts(applications)
+    unapplied = report.not_applied(jobs, applications).agg(F.count(F.lit(1)).alias("jobs"))
+    states = C.APPLICATION_STATUSES
+    applied = applications.agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count_if(F.col("status") == s).alias(s) for s in states],
+    )
     coverage = report.company_coverage(companies, as_of)
     health = report.profile_health(profiles, jobs)
     companies_top = report.top_companies(jobs, top)
@@ -55,19 +62,24 @@ def analytics_report(
         )
 
     parts = [
-        _long(ages, "jobs", ["total"]),
-        _long(ages, "jobs.by_age", ["fresh_24h", "recent_7d", "old_30d", "stale"]),
-        pairs(by_status, "jobs.by_application_status", F.col("status"), F.col("jobs")),
+        _long(ages, [
+            ("jobs", "total", "total"),
+            *[("jobs.by_age", n, n) for n in ("fresh_24h", "recent_7d", "old_30d", "stale")],
+            *[("cache_health", n, n) for n in ("oldest_job", "newest_job")],
+        ]),
+        _long(unapplied, [("jobs.by_application_status", C.NOT_APPLIED, "jobs")]),
+        _long(applied, [
+            ("applications", "total", "total"),
+            *[("applications", s, s) for s in states],
+            *[("jobs.by_application_status", s, s) for s in states],
+        ]),
         pairs(companies_top, "jobs.top_companies", F.col("normalized_company_name"), F.col("jobs")),
         pairs(locations_top, "jobs.top_locations", F.col("location"), F.col("jobs")),
         pairs(health, "scraping_profiles", F.col("profile_id"), F.col("total_jobs_cached")),
-        _long(app_total, "applications", ["total"]),
-        pairs(applied, "applications", F.col("status"), F.col("jobs")),
-        _long(coverage, "company_enrichment", ["total", "needing_refresh"]),
-        _long(ages, "cache_health", ["oldest_job", "newest_job"]),
+        _long(coverage, [("company_enrichment", n, n) for n in ("total", "needing_refresh")]),
     ]
     if size is not None:
-        parts.append(_long(size, "cache_health", ["size_mb"]))
+        parts.append(_long(size, [("cache_health", "size_mb", "size_mb")]))
     return reduce(DataFrame.unionByName, parts)
 
 

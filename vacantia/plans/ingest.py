@@ -14,17 +14,17 @@ from vacantia.functions.text import is_remote, normalize_company, offers_visa
 from vacantia.functions.times import instant, iso_to_utc
 from vacantia.operators.filters import quality_gate
 from vacantia.operators.latest import latest_by_key
-from vacantia.operators.lookup import lookup
 
 
 def cards_with_details(cards: DataFrame, details: DataFrame) -> DataFrame:
     """Card rows completed by their detail row, so the card-only badge survives.
 
-    The same posting may sit on several result pages.
+    The same posting may sit on several result pages. Details are as many as postings and
+    wide, so nothing is repeated: a plain join, split adaptively if one posting is on too many.
     """
     badge = cards.select("job_id", "page_id", "position", "benefits_badge", "posted_date_iso")
     wide = details.withColumnRenamed("posted_date_iso", "_detail_iso")
-    joined = lookup(badge, wide, "job_id", "left", spread_by=["page_id", "position"])
+    joined = badge.join(wide, "job_id", "left")
     iso = F.col("_detail_iso")
     card_iso = F.col("posted_date_iso")
     return joined.withColumn(

@@ -115,15 +115,18 @@ def search_page(
     chosen = ordering.page(ranked, order, limit, offset).drop(*sort_columns)
     if limit <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
-    full = with_company(jobs.join(chosen, "job_id"), companies)
+    full = with_company(jobs.join(chosen, "job_id"), companies, spread=False)
     return full.orderBy(*order)
 
 
-def with_company(jobs: DataFrame, companies: DataFrame) -> DataFrame:
-    """Company facts by normalised name; one company may own very many postings."""
+def with_company(jobs: DataFrame, companies: DataFrame, spread: bool = True) -> DataFrame:
+    """Company facts by normalised name.
+
+    One company may own a third of all postings, so these are spread unless they are a page.
+    """
     present = [c for c in COMPANY_COLUMNS if c in companies.columns]
     facts = companies.select("normalized_company_name", *present)
-    joined = lookup(jobs, facts, "normalized_company_name", "left", spread_by="job_id")
+    joined = lookup(jobs, facts, "normalized_company_name", "left", "job_id" if spread else None)
     missing = {c: F.lit(None) for c in COMPANY_COLUMNS if c not in present}
     kinds = {"company_founded": "int", "company_specialties": "array<string>"}
     return joined.withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "vacantia", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +22,7 @@ def build_session(app_name: str = "vacantia", master: str | None = None, **conf:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
@@ -30,6 +31,16 @@ def build_session(app_name: str = "vacantia", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def spread_small_scan(scan: DataFrame) -> DataFrame:
+    """Give every core a share of an input with fewer splits than cores.
+
+    For CPU-heavy work straight on a table scan. A large input has more splits than there are
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for tables and stream checkpoints that must outlive an executor.
 

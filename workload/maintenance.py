@@ -214,7 +214,7 @@ SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN
 def _(spark, sf):
     kept = upkeep.retention(table(spark, sf, "orders"), "2001-08-01 00:00:00", 1000 * 86400, "o_orderdate")
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    return upkeep.cascade(lines, kept, "o_orderkey", spread_by="l_linenumber").withColumnRenamed(
+    return upkeep.cascade(lines, kept, "o_orderkey").withColumnRenamed(
         "o_orderkey", "l_orderkey")
 
 
