@@ -40,6 +40,15 @@ class Condition:
     def holds(self, evidence: Evidence) -> Column:
         raise NotImplementedError
 
+    def asks_for(self, token: Column) -> Column:
+        """Is the token one that some part of the condition looks for?"""
+        atoms = self.atoms()
+        exact = sorted({w for a in atoms for w in (a.words[:-1] if a.prefix else a.words)})
+        wanted = token.isin(exact) if exact else F.lit(False)
+        for stem in sorted({a.words[-1] for a in atoms if a.prefix}):
+            wanted = wanted | token.startswith(stem)
+        return wanted
+
     def scan(self, texts: Mapping[str, Column]) -> Column:
         """Predicate that reads the text fields themselves.
 
@@ -248,11 +257,8 @@ def search_index(
     keys).
     """
     atoms = list(dict.fromkeys(condition.atoms()))
-    exact = sorted({w for a in atoms for w in (a.words[:-1] if a.prefix else a.words)})
-    wanted = F.col("token").isin(exact)
-    for stem in sorted({a.words[-1] for a in atoms if a.prefix}):
-        wanted = wanted | F.col("token").startswith(stem)
-    per_field = index.filter(wanted).repartition(F.col(key)).groupBy(key, "field").agg(
+    wanted = index.filter(condition.asks_for(F.col("token")))
+    per_field = wanted.repartition(F.col(key)).groupBy(key, "field").agg(
         *[_index_hit(atom).alias(f"_hit{i}") for i, atom in enumerate(atoms)]
     )
     flags = per_field.groupBy(key).agg(

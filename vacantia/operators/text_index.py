@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.text import tokens
-from vacantia.operators.keywords import field_texts
+from vacantia.operators.keywords import Condition, field_texts
 
 POSTING_COLUMNS = ["token", "field", "job_id", "positions"]
 
 
 def build_index(
-    jobs: DataFrame, key: str = "job_id", fields: Sequence[str] = C.INDEXED_FIELDS
+    jobs: DataFrame, key: str = "job_id", fields: Sequence[str] = C.INDEXED_FIELDS,
+    only: Condition | None = None,
 ) -> DataFrame:
     """(token, field, key, positions): one row per distinct token of a field.
 
     All occurrences of a token in one field lie in one input row, so the lists are built there:
-    the index needs no shuffle, and a token found everywhere is never gathered anywhere.
+    the index needs no shuffle, and a token found everywhere is never gathered anywhere. With
+    ``only``, just the entries one condition asks for, for a search without a stored index.
     """
     parts = [
-        F.struct(F.lit(name).alias("field"), _positions(tokens(text)).alias("entries"))
+        F.struct(F.lit(name).alias("field"), _positions(tokens(text), only).alias("entries"))
         for name, text in field_texts(jobs, fields).items()
     ]
     per_field = jobs.select(key, F.explode(F.array(*parts)).alias("_f"))
@@ -31,26 +33,33 @@ def build_index(
     return entries.select("_e.token", "field", key, "_e.positions")
 
 
-def _positions(words: Column) -> Column:
-    """Array of (token, positions) from an array of tokens: sort, then cut into equal runs."""
-    ordered = F.sort_array(
-        F.transform(words, lambda token, at: F.struct(token.alias("token"), at.alias("at")))
-    )
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def cut(sorted_words: Column) -> Column:
-        size = F.size(sorted_words)
-        heads = F.filter(
-            F.transform(sorted_words, lambda w, i: F.when(
-                (i == 0) | (w["token"] != F.get(sorted_words, i - 1)["token"]), i)),
-            lambda i: i.isNotNull(),
+
+def _positions(words: Column, only: Condition | None = None) -> Column:
+    """Array of (token, positions) from an array of tokens: sort, then cut into equal runs."""
+    placed = F.transform(words, lambda token, at: F.struct(token.alias("token"), at.alias("at")))
+    if only is not None:
+        placed = F.filter(placed, lambda item: only.asks_for(item["token"]))
+    ordered = F.sort_array(placed)
+
+    def cut(items: Column) -> Column:
+        def is_head(item: Column, i: Column) -> Column:
+            return (i == 0) | (item["token"] != F.get(items, i - 1)["token"])
+
+        heads = F.array_compact(F.transform(items, lambda item, i: F.when(is_head(item, i), i)))
+        return _bound(heads, lambda starts: F.transform(starts, lambda start, n: run(items, starts, start, n)))
+
+    def run(items: Column, starts: Column, start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get(starts, n + 1), F.size(items))
+        return F.struct(
+            F.get(items, start)["token"].alias("token"),
+            F.slice(items, start + 1, end - start)["at"].alias("positions"),
         )
-        return F.transform(heads, lambda head, n: F.struct(
-            F.get(sorted_words, head)["token"].alias("token"),
-            F.slice(sorted_words, head + 1, F.coalesce(F.get(heads, n + 1), size) - head)["at"]
-            .alias("positions"),
-        ))
 
-    return F.flatten(F.transform(F.array(ordered), cut))
+    return _bound(ordered, cut)
 
 
 def refresh_index(

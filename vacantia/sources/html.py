@@ -11,6 +11,7 @@ import html as html_lib
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -64,6 +65,18 @@ class Group:
     def repeats(self) -> bool:
         return bool(self.tag or self.css_class)
 
+    @cached_property
+    def untagged(self) -> list[Field]:
+        return [f for f in self.fields if f.tag is None]
+
+    @cached_property
+    def by_tag(self) -> dict[str, list[Field]]:
+        """The fields an element of a tag may fill."""
+        return {
+            tag: [f for f in self.fields if f.tag in (tag, None)]
+            for tag in {f.tag for f in self.fields if f.tag}
+        }
+
 
 # Where a search card and a detail page keep their fields.
 CARD_GROUP = Group("cards", (
@@ -121,9 +134,10 @@ class _Capture:
         self.open: dict[str, tuple[Field, int, list[str]]] = {}
 
     def start(self, tag: str, attrs: dict[str, str], raw: str, parents: list, depth: int) -> None:
-        for _, _, parts in (o for o in self.open.values() if o[0].markup):
-            parts.append(raw)
-        for field in self.group.fields:
+        for opened, _, parts in self.open.values():
+            if opened.markup:
+                parts.append(raw)
+        for field in self.group.by_tag.get(tag, self.group.untagged):
             taken = self.values[field.name] is not None or field.name in self.open
             if taken or not field.fits(tag, attrs, parents):
                 continue
@@ -143,6 +157,8 @@ class _Capture:
 
     def close(self, depth: int, raw: str) -> None:
         """Finish the fields whose element lies at ``depth`` or deeper."""
+        if not self.open:
+            return
         for name, (field, opened, parts) in list(self.open.items()):
             if field.markup and raw:
                 parts.append(raw)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantia import spread_small_scan
+
 AS_OF = "2024-01-31 00:00:00"
 
 SPARK = {
@@ -116,16 +118,18 @@ _SOURCES = {
 }
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    """``spread`` is for CPU-heavy work on a table that is one small file here."""
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread_small_scan(scan) if spread else scan
 
 
-def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
     source = _SOURCES[name]
     text = _VIEWS[name](SPARK)
     marker = f"FROM {source}"
     return spark.sql(
-        text.replace(marker, f"FROM {{{source}}}"), **{source: table(spark, sf, source)}
+        text.replace(marker, f"FROM {{{source}}}"), **{source: table(spark, sf, source, spread)}
     )
 
 

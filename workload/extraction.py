@@ -15,7 +15,7 @@ SELECT CAST(doc_id AS VARCHAR) AS job_id, {norm_sql("source || ' LLC'")} AS norm
     ELSE regexp_replace(substring(text, 1, 300), '\.[^.]*$', '') || '.' END AS description_summary
 FROM documents""")
 def _(spark, sf):
-    details = table(spark, sf, "documents").select(
+    details = table(spark, sf, "documents", spread=True).select(
         F.col("doc_id").cast("string").alias("job_id"),
         F.concat(F.col("source"), F.lit(" LLC")).alias("company"),
         F.lit("$80k–$120k").alias("salary"), F.lit("2 days ago").alias("posted_date_iso"),

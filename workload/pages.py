@@ -43,11 +43,11 @@ FROM pages"""
 
 
 def anchors(spark, sf):
-    return html.extract_group(table(spark, sf, "pages"), "page_id", "html", ANCHOR)
+    return html.extract_group(table(spark, sf, "pages", spread=True), "page_id", "html", ANCHOR)
 
 
 def page_heads(spark, sf):
-    return html.extract_group(table(spark, sf, "pages"), "page_id", "html", HEAD).drop("position")
+    return html.extract_group(table(spark, sf, "pages", spread=True), "page_id", "html", HEAD).drop("position")
 
 
 @query("s1_scan_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -70,7 +70,7 @@ def _lines(spark, sf):
     kind = F.col("doc_id") % 10
     line = (F.when(kind == 7, F.concat(F.lit("broken {"), F.col("doc_id").cast("string")))
             .when(kind == 8, "[1]").when(kind == 9, "  ").otherwise(record))
-    return table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    return table(spark, sf, "documents", spread=True).select("doc_id", line.alias("line"))
 
 
 @query("s2_jsonl_accepted", """
@@ -133,7 +133,7 @@ SELECT h.page_id, h.title, h.h1, h.lang,
 FROM ({HEAD_SQL}) h JOIN pages p ON h.page_id = p.page_id""")
 def _(spark, sf):
     group = html.Group("detail", (*HEAD.fields, html.Field("article", "article")))
-    return html.extract_group(table(spark, sf, "pages"), "page_id", "html", group).drop("position")
+    return html.extract_group(table(spark, sf, "pages", spread=True), "page_id", "html", group).drop("position")
 
 
 _CRITERIA = (("has_th", "th", False), ("has_en", "en", False), ("has_er", "er", True), ("has_a", "a", True))
@@ -153,7 +153,7 @@ FROM pages p LEFT JOIN b ON p.page_id = b.page_id GROUP BY p.page_id""")
 def _(spark, sf):
     group = html.Group(
         "criteria", (html.Field("label", "a"), html.Field("value", "a", attr="href")), tag="li")
-    read = html.read_pages(table(spark, sf, "pages"), "page_id", "html", (group,))
+    read = html.read_pages(table(spark, sf, "pages", spread=True), "page_id", "html", (group,))
     pivoted = html.pivot_criteria(F.col("criteria"), _CRITERIA)
     return read.select("page_id", *[column.alias(name) for name, column in pivoted.items()])
 
@@ -164,7 +164,7 @@ SELECT page_id, contains(html, '<div class="ad">') AS has_button,
 def _(spark, sf):
     group = html.Group("flags", (html.Field("apply_button", classes=("ad",)),
                                  html.Field("apply_label", "div", ("aside",))))
-    read = html.read_pages(table(spark, sf, "pages"), "page_id", "html", (group,))
+    read = html.read_pages(table(spark, sf, "pages", spread=True), "page_id", "html", (group,))
     flags = F.col("flags")[0]
     return read.select(
         "page_id", flags["apply_button"].isNotNull().alias("has_button"),
@@ -194,7 +194,7 @@ def _(spark, sf):
 SELECT page_id, {_text_sql("regexp_extract(html, '<body>(.*)', 1, 's')", "chr(10)")} AS text FROM pages""")
 def _(spark, sf):
     group = html.Group("page", (html.Field("text", "body", joiner="\n"),))
-    return html.extract_group(table(spark, sf, "pages"), "page_id", "html", group).drop("position")
+    return html.extract_group(table(spark, sf, "pages", spread=True), "page_id", "html", group).drop("position")
 
 
 @query("a12_stored_size")

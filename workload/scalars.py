@@ -16,7 +16,7 @@ _FOUND = r"""list_sort(list_distinct(list_transform(list_filter(
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    return table(spark, sf, "documents", spread=True)
 
 
 @query("x1_normalize_company", f"""

@@ -34,7 +34,8 @@ CONDITIONS = {
 
 
 def _indexed_text(spark, sf):
-    return view(spark, sf, "jobs").select("job_id", "title", "company", "raw_description", "skills")
+    return view(spark, sf, "jobs", spread=True).select(
+        "job_id", "title", "company", "raw_description", "skills")
 
 
 def _register(name, condition, where):
@@ -46,7 +47,8 @@ def _register(name, condition, where):
 
     @query(f"{name}_index", sql)
     def _(spark, sf):
-        return kw.search_index(text_index.build_index(_indexed_text(spark, sf)), condition)
+        return kw.search_index(
+            text_index.build_index(_indexed_text(spark, sf), only=condition), condition)
 
 
 for _name, (_condition, _where) in CONDITIONS.items():
@@ -67,7 +69,7 @@ SELECT token, count(*) AS occurrences FROM (SELECT unnest(list_filter(
   string_split_regex(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS token FROM documents)
 GROUP BY token""")
 def _(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("token"))
+    words = table(spark, sf, "documents", spread=True).select(F.explode(tokens(F.col("text"))).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
