@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators.latest import latest_by_key
 from vacantia.operators.merge import upsert_replace, write_bucketed
-from vacantia.sources.jsonl import accepted, legacy_to_jobs, scan_jsonl
+from vacantia.sources.jsonl import accepted, legacy_to_jobs, parse_jsonl
 
 _ORDER = ["_file", "_line"]
 
@@ -35,9 +35,10 @@ def migrate_files(
 
     Lines are ordered by file and by position in it, as far as Spark's row ids tell.
     """
-    records = scan_jsonl(spark, source).withColumns({
+    lines = spark.read.text(source).withColumns({
         "_file": F.input_file_name(), "_line": F.monotonically_increasing_id(),
     })
+    records = parse_jsonl(lines, "value")
     write_bucketed(migrated(records, as_of, _ORDER), target, "job_id", buckets)
     return records.select("job_id", "_corrupt_record").agg(
         F.count_if(F.col("_corrupt_record").isNull()).alias("migrated"),

@@ -19,18 +19,16 @@ CORRUPT = "_corrupt_record"
 
 
 def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType = LEGACY) -> DataFrame:
-    """One object per line. Unreadable lines keep their text in ``_corrupt_record``."""
-    layout = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(layout)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    """One object per line. Unreadable lines keep their text in ``_corrupt_record``.
+
+    Read as text lines and then parsed whole: the JSON file reader would skip the columns a
+    query does not use, and so call a line good or bad depending on the query.
+    """
+    return parse_jsonl(spark.read.text(path), "value", schema)
 
 
 def parse_jsonl(lines: DataFrame, column: str, schema: T.StructType = LEGACY) -> DataFrame:
-    """The same for lines already held in a column. Blank lines are dropped.
+    """JSON lines held in a column. Blank lines are dropped.
 
     A line that is not a JSON object (text, list, number) counts as unreadable.
     """
@@ -39,12 +37,12 @@ def parse_jsonl(lines: DataFrame, column: str, schema: T.StructType = LEGACY) ->
     record = F.from_json(line, layout, {"columnNameOfCorruptRecord": CORRUPT})
     return (
         lines.filter(F.trim(line) != "")
-        .select(*[c for c in lines.columns if c != column], line.alias("_line"),
+        .select(*[c for c in lines.columns if c != column], line.alias("_text"),
                 record.alias("_record"))
         .select(
             *[c for c in lines.columns if c != column],
             *[F.col(f"_record.{f.name}").alias(f.name) for f in schema.fields],
-            F.when(~F.ltrim(F.col("_line")).startswith("{"), F.col("_line"))
+            F.when(~F.ltrim(F.col("_text")).startswith("{"), F.col("_text"))
             .otherwise(F.col(f"_record.{CORRUPT}")).alias(CORRUPT),
         )
     )
