@@ -46,31 +46,31 @@ def test_salary_plain_digits(spark):
 
 
 @pytest.mark.parametrize("given, expected", [
-    ("We offer remote work opportunities", True), ("This is a fully remote position", True),
-    ("Work from home available", True), ("REMOTE-FIRST company", True),
-    ("distributed systems", True), ("On-site only position", False),
-    ("Must be in office 5 days a week", False), ("N/A", False), ("", False), (None, False),
+    ("Fully Remote within Europe", True), ("You may work from home on Fridays", True),
+    ("WFH friendly", True), ("a REMOTE-FIRST team", True), ("Live anywhere you like", True),
+    ("distributed databases", True), ("Office attendance on all weekdays", False),
+    ("N/A", False), ("", False), (None, False),
 ])
 def test_remote(spark, given, expected):
     assert evaluate(spark, given, text.is_remote) is expected
 
 
 @pytest.mark.parametrize("given, expected", [
-    ("H1B sponsorship available", True), ("We sponsor H-1B visas", True),
-    ("Visa support provided", True), ("Can sponsor work authorization", True),
-    ("Great benefits and competitive salary", False), ("N/A", False), (None, False),
+    ("H-1B transfers welcome", True), ("h1b holders too", True),
+    ("Includes Visa Support for families", True), ("We can sponsor your permit", True),
+    ("A gym, a piano and free lunch", False), ("N/A", False), (None, False),
 ])
 def test_visa(spark, given, expected):
     assert evaluate(spark, given, text.offers_visa) is expected
 
 
 @pytest.mark.parametrize("given, expected", [
-    ("Experience with Python, Java, and TypeScript required", ["Java", "Python", "Typescript"]),
-    ("TensorFlow, PyTorch, and scikit-learn needed", ["Pytorch", "Scikit-Learn", "Tensorflow"]),
-    ("AWS, GCP, and Azure", ["AWS", "Azure", "GCP"]),
+    ("TypeScript or Java; a bit of Python helps, python!", ["Java", "Python", "Typescript"]),
+    ("scikit-learn models served with PyTorch", ["Pytorch", "Scikit-Learn"]),
+    ("Azure today, GCP tomorrow", ["Azure", "GCP"]),
     ("aws and AWS, ci/cd, Hugging Face", ["AWS", "Aws", "Ci/Cd", "Hugging Face"]),
     ("C++ and JavaScript, Pythonic éGo", ["Javascript"]),
-    ("No technical skills mentioned", []), ("N/A", []), ("", []), (None, []),
+    ("Ability to whistle", []), ("N/A", []), ("", []), (None, []),
 ])
 def test_skills(spark, given, expected):
     assert evaluate(spark, given, skills.skills) == expected
@@ -82,24 +82,24 @@ def test_skills_overlapping(spark):
     assert found == ["Deep Learning", "Learning"]
 
 
-POSTING = """We are seeking an ML Engineer with 5+ years of experience.
-Build scalable ML pipelines using Python and TensorFlow.
-  Design robust data infrastructure.
-build nothing in lower case
-Develop automated testing frameworks that are long enough to be cut at eighty characters, surely.
-Lead a fourth line.
-A Master's degree in Computer Science is required."""
+POSTING = """Our group wants a person with 7 years of experience in search.
+Deploy rankers written in Rust to Kubernetes on each weekday.
+  Create dashboards for recruiters.
+create nothing in lower case
+Manage a backlog whose description here is long enough that it will be cut at eighty characters.
+Lead the fourth line.
+PhD degree or similar, please."""
 
 
 def test_insights(spark):
     df = spark.createDataFrame([(POSTING,)], "raw_description string")
     row = insights.with_insights(df).first()
     assert row.description_summary == POSTING[:300].rsplit(".", 1)[0] + "."
-    assert row.key_requirements == ["5+ years experience", "Master", "Python", "Tensorflow"]
+    assert row.key_requirements == ["7+ years experience", "ba", "Kubernetes", "Rust"]
     assert row.key_responsibilities_preview == " • ".join([
-        "Build scalable ML pipelines using Python and TensorFlow.",
-        "Design robust data infrastructure.",
-        "Develop automated testing frameworks that are long enough to be cut at eighty characters, surely."[:80],
+        "Deploy rankers written in Rust to Kubernetes on each weekday.",
+        "Create dashboards for recruiters.",
+        "Manage a backlog whose description here is long enough that it will be cut at eighty characters."[:80],
     ])
 
 

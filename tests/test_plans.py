@@ -61,3 +61,20 @@ def test_upsert_does_not_shuffle_the_stored_table(spark):
     batch = orders.limit(5).withColumn("seq", orders["o_orderkey"])
     text = plan(upsert_replace(orders, batch, "o_orderkey", "seq"))
     assert "BroadcastHashJoin LeftAnti" in text
+
+
+def test_page_keys_reach_the_wide_scan(spark, tmp_path):
+    from vacantia.plans.search import SearchFilters, search_page
+
+    view(spark, SF, "jobs").write.parquet(str(tmp_path / "jobs"))
+    jobs = spark.read.parquet(str(tmp_path / "jobs"))
+    page = search_page(jobs, view(spark, SF, "applications"), view(spark, SF, "companies"),
+                       SearchFilters(), "2024-01-31 00:00:00", limit=3)
+    assert "In(job_id, [" in plan(page)
+
+
+def test_change_log_shuffles_the_snapshots_once(spark):
+    log = entry.queries()["w2_field_change_log"](spark, SF)
+    log.collect()
+    executed = log._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in executed

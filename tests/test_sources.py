@@ -9,7 +9,7 @@ from vacantia.sources import crawl, html, jsonl, tables
 CARD = """
 <li><div class="base-card job-search-card" data-entity-urn="urn:li:jobPosting:{id}">
  <a class="base-card__full-link" href="https://jobs.example.com/view/{id}?a=1&amp;b=2">x</a>
- <h3 class="base-search-card__title"> ML <b>Engineer</b> </h3>
+ <h3 class="base-search-card__title"> Search <b>Engineer</b> </h3>
  <h4 class="base-search-card__subtitle"><a href="https://example.com/acme">Acme &amp; Co</a></h4>
  <span class="job-search-card__location">San Francisco, CA</span>
  <span class="job-posting-benefits__text">Actively Hiring</span>
@@ -18,7 +18,7 @@ CARD = """
 
 DETAIL = """
 <html><head><script>var x = "<h2 class='top-card-layout__title'>no</h2>";</script></head><body>
-<h2 class="top-card-layout__title">ML Engineer</h2>
+<h2 class="top-card-layout__title">Search Engineer</h2>
 <a class="topcard__org-name-link other" href="https://example.com/acme">Acme, Inc.</a>
 <span class="topcard__flavor--bullet">San Francisco, CA</span>
 <span class="posted-time-ago__text">2 days ago</span>
@@ -44,7 +44,7 @@ def test_cards(spark):
     rows = html.extract_cards(pages(spark, page, "", None)).orderBy("position").collect()
     assert [(r.job_id, r.position) for r in rows] == [("1", 0), ("2", 2)]
     first = rows[0]
-    assert first.title == "ML Engineer" and first.company == "Acme & Co"
+    assert first.title == "Search Engineer" and first.company == "Acme & Co"
     assert first.company_url == "https://example.com/acme"
     assert first.location == "San Francisco, CA" and first.benefits_badge == "Actively Hiring"
     assert (first.posted_date, first.posted_date_iso) == ("2 days ago", "2026-01-29")
@@ -54,7 +54,7 @@ def test_cards(spark):
 def test_detail(spark):
     df = spark.createDataFrame([("7", DETAIL), ("8", "<p>empty</p>")], "job_id string, html string")
     row, empty = html.extract_details(df).orderBy("job_id").collect()
-    assert (row.title, row.company, row.location) == ("ML Engineer", "Acme, Inc.", "San Francisco, CA")
+    assert (row.title, row.company, row.location) == ("Search Engineer", "Acme, Inc.", "San Francisco, CA")
     assert row.number_of_applicants == "Over 200 applicants" and "$160,000" in row.salary
     assert row.description_text.split("\n") == [
         "Build remote Python systems.", "1 < 2 years of exp", "Nested", "unclosed", "Design AWS things"]

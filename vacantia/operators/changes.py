@@ -10,23 +10,22 @@ from pyspark.sql import functions as F
 from vacantia import constants as C
 from vacantia.functions.times import hours_before, instant
 
-_PREV, _ROW, _LAST, _SLICE = "_prev", "_row", "_last", "_slice"
+_PREV, _ROW, _LAST, _SLICE = "_prev_", "_row", "_last", "_slice"
 
 
 def _unpivot(rows: DataFrame, key: str, time: str, fields: Sequence[str]) -> DataFrame:
-    """Rows with a previous state → one row per field that differs (NULL-safe)."""
+    """Rows beside their previous state → one row per field that differs (NULL-safe)."""
     pairs = F.array(*[
         F.struct(
             F.lit(name).alias("field_name"),
-            F.col(_PREV)[name].cast("string").alias("old_value"),
+            F.col(_PREV + name).cast("string").alias("old_value"),
             F.col(name).cast("string").alias("new_value"),
         )
         for name in fields
     ])
     edited = F.filter(pairs, lambda p: ~p["old_value"].eqNullSafe(p["new_value"]))
     return (
-        rows.filter(F.col(_PREV).isNotNull())
-        .select(F.col(key), F.col(time).alias("changed_at"), F.explode(edited).alias("_edit"))
+        rows.select(F.col(key), F.col(time).alias("changed_at"), F.explode(edited).alias("_edit"))
         .select(key, "changed_at", "_edit.*")
     )
 
@@ -43,25 +42,27 @@ def change_log(
 
     Consecutive rows are compared in two steps so that a key with a huge history is not one
     task: first inside (key, time slice), then across slices, where only the first and last
-    row of each slice take part. Both steps share one shuffle of the snapshots.
+    row of each slice take part. Both steps read the same shuffle of the snapshots.
     """
     order = [time, *tie_break]
-    state = F.struct(*fields)
     narrow = snapshots.select(key, *dict.fromkeys([*order, *fields])).withColumn(
         _SLICE, F.date_trunc(slice_width, F.col(time).cast("timestamp"))
     )
     in_slice = Window.partitionBy(key, _SLICE).orderBy(*order)
     sliced = narrow.select(
         "*",
-        F.lag(state).over(in_slice).alias(_PREV),
+        *[F.lag(name).over(in_slice).alias(_PREV + name) for name in fields],
         F.row_number().over(in_slice).alias(_ROW),
         F.lead(F.lit(True)).over(in_slice).isNull().alias(_LAST),
     )
     across = Window.partitionBy(key).orderBy(*order)
     borders = (
         sliced.filter((F.col(_ROW) == 1) | F.col(_LAST))
-        .withColumn(_PREV, F.lag(state).over(across))
-        .filter(F.col(_ROW) == 1)
+        .withColumns({
+            **{_PREV + name: F.lag(name).over(across) for name in fields},
+            "_follows": F.lag(F.lit(True)).over(across),
+        })
+        .filter((F.col(_ROW) == 1) & F.col("_follows"))
     )
     inner = sliced.filter(F.col(_ROW) > 1)
     return _unpivot(inner, key, time, fields).unionByName(_unpivot(borders, key, time, fields))
@@ -75,7 +76,7 @@ def compare_snapshots(
     fields: Sequence[str] = C.TRACKED_FIELDS,
 ) -> DataFrame:
     """Edits between the stored row and the incoming row of the same key."""
-    stored = existing.select(key, F.struct(*fields).alias(_PREV))
+    stored = existing.select(key, *[F.col(name).alias(_PREV + name) for name in fields])
     fresh = incoming.select(key, time, *fields)
     return _unpivot(fresh.join(stored, key), key, time, fields)
 

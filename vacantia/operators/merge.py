@@ -111,11 +111,13 @@ def bucket_of(key: str, buckets: int) -> Column:
 def write_bucketed(table: DataFrame, path: str, key: str, buckets: int) -> None:
     """Write a keyed table so that later upserts rewrite only the buckets they touch.
 
-    Rows are shuffled by bucket and key hash, so a bucket is written by several tasks.
+    Rows are shuffled by bucket and key hash, so a bucket is written by several tasks, and
+    sorted by key, so a search for a few keys reads few Parquet pages.
     """
     (
         table.withColumn(BUCKET, bucket_of(key, buckets))
         .repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(8)))
+        .sortWithinPartitions(BUCKET, key)
         .write.mode("overwrite").partitionBy(BUCKET)
         .option("partitionOverwriteMode", "dynamic").parquet(path)
     )
@@ -138,6 +140,8 @@ def upsert_into(
     touched = [
         row[0] for row in batch.select(bucket_of(key, buckets).alias(BUCKET)).distinct().collect()
     ]
+    if not touched:
+        return
     current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
     staged = work_dir(spark, "upsert")
     write_bucketed(upsert_replace(current, batch, key, order), staged, key, buckets)

@@ -12,8 +12,9 @@ from vacantia import constants as C
 from vacantia.operators import filters, keywords, ordering
 from vacantia.operators.lookup import lookup
 
-# A page of at most this many keys may be broadcast; a larger one is joined by shuffle.
-BROADCAST_KEYS = 100_000
+# The keys of a page up to this size are brought to the driver to prune the wide scan; a
+# larger page is joined by shuffle.
+PINNED_KEYS = 10_000
 
 COMPANY_COLUMNS = (
     "company_size", "company_industry", "company_description", "company_website",
@@ -104,8 +105,9 @@ def search_page(
 ) -> DataFrame:
     """One ordered page of full postings.
 
-    Filtering, joining and ranking run on keys and sort columns only; the wide text columns
-    and the company facts are fetched for the rows of the page.
+    Filtering, joining and ranking run on keys and sort columns only. The at most ``limit``
+    chosen keys then become a literal filter on the postings, which reaches the Parquet scan:
+    with files sorted by key, only the pages that hold them are read for the wide columns.
     """
     order = ordering.order_for(sort_by)
     sort_columns = ["posted_at", "scraped_at", "number_of_applicants"]
@@ -113,10 +115,13 @@ def search_page(
         "job_id", *sort_columns, "application_status", "applied_at", "notes"
     )
     chosen = ordering.page(ranked, order, limit, offset).drop(*sort_columns)
-    if limit <= BROADCAST_KEYS:
-        chosen = F.broadcast(chosen)
-    full = with_company(jobs.join(chosen, "job_id"), companies, spread=False)
-    return full.orderBy(*order)
+    wide = jobs
+    if limit <= PINNED_KEYS:
+        rows = chosen.collect()
+        wide = jobs.filter(F.col("job_id").isin([row["job_id"] for row in rows]))
+        chosen = F.broadcast(jobs.sparkSession.createDataFrame(rows, chosen.schema))
+    full = with_company(wide.join(chosen, "job_id"), companies, spread=False)
+    return full.orderBy(*order).limit(limit)
 
 
 def with_company(jobs: DataFrame, companies: DataFrame, spread: bool = True) -> DataFrame:
