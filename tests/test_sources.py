@@ -2,6 +2,9 @@
 
 import json
 
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
 from vacantia.operators.filters import quality_gate
 from vacantia.plans import ingest, migrate
 from vacantia.sources import crawl, html, jsonl, tables
@@ -138,11 +141,19 @@ def test_crawl_plan(spark):
         f"https://x.example/s?keywords=ml&location=SF&distance=25&start={s}&f_TPR=r7200&f_E=2" for s in (0, 10)]
 
 
+def test_live_arguments(spark):
+    assert [crawl.pages_for(n) for n in (0, 1, 10, 11, 95, 1000)] == [1, 1, 1, 2, 10, 10]
+    df = spark.createDataFrame([(50,), (33,), (None,)], "d int")
+    assert [r[0] for r in df.select(crawl.valid_distance(F.col("d"))).collect()] == [50, 25, 25]
+
+
 def test_gate(spark):
     df = spark.createDataFrame(
         [("1", "t", "c"), ("2", "N/A", "c"), ("3", "t", None), ("N/A", "t", "c")],
         "job_id string, title string, company string")
-    assert [r.job_id for r in quality_gate(df).collect()] == ["1"]
+    counts = Observation()
+    assert [r.job_id for r in quality_gate(df, counts=counts).collect()] == ["1"]
+    assert counts.get == {"seen": 4, "skipped": 3}
 
 
 def test_stored_size(spark, tmp_path):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
@@ -44,6 +44,12 @@ def due_profiles(profiles: DataFrame, as_of: Column | datetime | str) -> DataFra
     return profiles.filter(F.col("last_scraped_at").isNull() | (next_run <= instant(as_of)))
 
 
+def company_lookup(companies: DataFrame, names: DataFrame, column: str = "company") -> DataFrame:
+    """Company facts for many names at once, whatever their spelling or legal suffix."""
+    keys = names.select(normalize_company(F.col(column)).alias("normalized_company_name"))
+    return key_lookup(companies, keys, "normalized_company_name")
+
+
 def key_lookup(table: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """The rows of many requested keys at once. Repeated requests give one row."""
     return table.join(keys.select(on), on, "left_semi")
@@ -56,8 +62,21 @@ def passes_gate(required: Iterable[str] = ("job_id", "title", "company")) -> Col
     return ok
 
 
-def quality_gate(rows: DataFrame, required=("job_id", "title", "company")) -> DataFrame:
-    """Drops rows whose scrape failed, so they never overwrite good data."""
+def quality_gate(
+    rows: DataFrame,
+    required: Iterable[str] = ("job_id", "title", "company"),
+    counts: Observation | None = None,
+) -> DataFrame:
+    """Drops rows whose scrape failed, so they never overwrite good data.
+
+    ``counts`` receives the rows seen and skipped from the pass that uses the result.
+    """
+    if counts is not None:
+        rows = rows.observe(
+            counts,
+            F.count(F.lit(1)).alias("seen"),
+            F.count_if(~passes_gate(required)).alias("skipped"),
+        )
     return rows.filter(passes_gate(required))
 
 

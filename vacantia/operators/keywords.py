@@ -130,6 +130,10 @@ class Atom(Condition):
         if self.gap is None:
             needle = " " + " ".join(self.words) + ("" if self.prefix else " ")
             return F.contains(text, F.lit(needle))
+        if len(self.words) == 2:
+            one, two = self.words
+            between = rf"(?:\S++ ){{0,{self.gap}}}"
+            return text.rlike(f" {one} {between}{two} | {two} {between}{one} ")
         asked = F.array(*[F.lit(w) for w in self.words])
         marks = F.transform(
             F.split(F.trim(text), " "),

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia import constants as C
+
 PAGE_SIZE = 10
+MAX_LIVE_PAGES = 10
+
+
+def pages_for(limit: int) -> int:
+    """Result pages needed for so many postings, within the allowed range."""
+    return max(1, min(-(-limit // PAGE_SIZE), MAX_LIVE_PAGES))
+
+
+def valid_distance(distance: Column) -> Column:
+    """A distance outside the domain falls back to the default."""
+    allowed = F.coalesce(distance.isin(list(C.PROFILE_DISTANCES)), F.lit(False))
+    return F.when(allowed, distance).otherwise(F.lit(C.PROFILE_DEFAULTS["distance"]))
 
 
 def crawl_plan(

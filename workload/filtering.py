@@ -95,6 +95,15 @@ def _(spark, sf):
         "c_custkey", "c_name")
 
 
+@query("f16_company_lookup", ctes("companies") + """
+SELECT normalized_company_name, company_size FROM companies
+WHERE normalized_company_name IN (SELECT lower(source) FROM documents WHERE doc_id % 3 = 0)""")
+def _(spark, sf):
+    names = view(spark, sf, "jobs").filter("CAST(job_id AS BIGINT) % 3 = 0").select("company")
+    return filters.company_lookup(view(spark, sf, "companies"), names).select(
+        "normalized_company_name", "company_size")
+
+
 @query("f17_enabled_profiles", ctes("profiles") + "SELECT id, name FROM profiles WHERE enabled")
 def _(spark, sf):
     return filters.enabled_profiles(view(spark, sf, "profiles")).select("id", "name")
