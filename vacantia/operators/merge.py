@@ -108,15 +108,19 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def write_bucketed(table: DataFrame, path: str, key: str, buckets: int) -> None:
+def write_bucketed(
+    table: DataFrame, path: str, key: str, buckets: int, files_per_bucket: int = 8
+) -> None:
     """Write a keyed table so that later upserts rewrite only the buckets they touch.
 
     Rows are shuffled by bucket and key hash, so a bucket is written by several tasks, and
-    sorted by key, so a search for a few keys reads few Parquet pages.
+    sorted by key, so a search for a few keys reads few Parquet pages. Choose the two numbers
+    so that a file is some hundred MB; ``spark.sql.shuffle.partitions`` should reach their
+    product on a first full write.
     """
     (
         table.withColumn(BUCKET, bucket_of(key, buckets))
-        .repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(8)))
+        .repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(files_per_bucket)))
         .sortWithinPartitions(BUCKET, key)
         .write.mode("overwrite").partitionBy(BUCKET)
         .option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -75,14 +75,17 @@ def drop_from_index(index: DataFrame, removed: DataFrame, key: str = "job_id") -
     return index.join(removed.select(key), key, "left_anti")
 
 
-def write_index(index: DataFrame, path: str, buckets: int = 64) -> None:
+def write_index(
+    index: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 8
+) -> None:
     """Store by token hash, sorted by token, so a search opens few row groups.
 
-    Postings of one token are spread over several files by key; no writer gets them all.
+    Postings of one token are spread over ``files_per_bucket`` files by key: no writer gets a
+    word that stands in every posting whole. Raise it with the number of postings.
     """
     (
         index.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        .repartition("token_bucket", F.pmod(F.xxhash64("job_id"), F.lit(8)))
+        .repartition("token_bucket", F.pmod(F.xxhash64("job_id"), F.lit(files_per_bucket)))
         .sortWithinPartitions("token_bucket", "token")
         .write.mode("overwrite").partitionBy("token_bucket").parquet(path)
     )
