@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import keywords as kw
 from vacantia.operators import report, sections, text_index
-from vacantia.plans import analytics
+from vacantia.plans import analytics, answers
 from vacantia.plans.search import SearchFilters, count_matches, envelope, matching, search_page
 from vacantia.schema import APPLICATIONS, COMPANIES, POSTINGS, PROFILES
 
@@ -211,6 +211,13 @@ def test_sections_json(tables):
     assert made["employment_details"]["workplace_type"] == "Remote"
 
 
+def test_query_jobs(tables):
+    answer = answers.query_jobs(*tables, SearchFilters(remote_only=True), NOW, ["metadata"], limit=1)
+    assert [r.job_id for r in answer.jobs.collect()] == ["1"]
+    assert answer.jobs.columns == ["job_id", "core", "decision_making", "metadata"]
+    assert tuple(answer.summary.first()) == (1, 2, 1)
+
+
 def test_sections_default_and_unknown(tables):
     page = search_page(*tables, SearchFilters(application_status="not_applied"), NOW, limit=1)
     assert sections.with_sections(page).columns == [

@@ -6,7 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vacantia.operators.filters import quality_gate
-from vacantia.plans import ingest, migrate
+from vacantia.plans import answers, ingest, migrate
 from vacantia.sources import crawl, html, jsonl, tables
 
 CARD = """
@@ -88,6 +88,19 @@ def test_ingest_pages(spark):
     assert row.key_responsibilities_preview == "Build remote Python systems. • Design AWS things"
 
 
+def test_explore(spark):
+    cards = html.extract_cards(pages(spark, CARD.format(id=7) + CARD.format(id=8)))
+    details = ingest.enrich(html.extract_details(spark.createDataFrame(
+        [("7", DETAIL), ("8", DETAIL), ("9", DETAIL)], "job_id string, html string")), "2026-02-01 00:00:00")
+    found = answers.explore(cards, details, "2026-02-01 00:00:00", limit=1)
+    assert tuple(found.summary.first()) == (1, 2, 1)
+    row = found.jobs.first()
+    assert found.jobs.count() == 1 and row.core.job_id == "7"
+    assert row.employment_details.workplace_type == "Remote"
+    assert row.description_insights.description_summary == row.full_description.description[:500]
+    assert answers.explore(cards, details, "2026-02-01 00:00:00", limit=99).summary.first().limit == 10
+
+
 LEGACY = [
     {"job_id": "1", "title": "Old", "company": "Acme LLC", "location": "SF",
      "scraped_at": "2026-02-15T10:00:00Z", "salary": "$150K", "raw_description": "Remote ML with Python"},
