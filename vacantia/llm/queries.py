@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import alignment, jaccard, packing, pseudonyms, quality
+from vacantia.llm import (
+    alignment, bpe, graph_search, jaccard, packing, pseudonyms, quality, quotations, voronoi, wrappers,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,14 +62,43 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op5_voronoi_topk", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+@query("op7_graph_search")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query("op8_jaccard_join", """
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE
     WHEN len(ws) = 0 THEN []
     WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS g
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g
   FROM w
 ), n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
 ), both_ AS (
@@ -89,3 +120,16 @@ LEFT JOIN copies c ON c.x = d.doc_id LEFT JOIN counts t ON t.x = d.doc_id
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_wrapper_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_quotation_linking")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quotations.conversations(table(spark, sf_dir, "conversations"))
+    return found.select(
+        "conv_id", "turn", "role", "position", "parent_turn", "thread_turn", "quoted_levels", "own_text", "formatted"
+    )
