@@ -48,7 +48,9 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing (2) into sequences of 2048 tokens."""
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    ))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CACHE_LIMIT = 300_000
+from vacantia.llm.words import WordwiseEncoder
 
 
 class MergeReplay:
@@ -122,66 +122,32 @@ class MergeReplay:
 
 
 class TextEncoder:
-    """Whole texts through :class:`MergeReplay`: the new words of a group of texts are replayed together.
-
-    The pattern never joins a word with what stands before its leading space, so a text is the
-    concatenation of its space-led chunks; texts where white space meets white space are split by
-    the pattern as a whole. Known chunks are kept up to a bound, as id text and as decoded bytes.
-    """
+    """Whole texts through :class:`MergeReplay`: the new words of a group of texts are replayed together."""
 
     def __init__(self, rank_file: str, pattern: str):
-        import regex
-
         self.replay = MergeReplay(rank_file)
-        self.split = regex.compile(pattern).findall
-        self.ids: dict[str, bytes | None] = {}
-        self.decoded: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.split(t) for t in texts]
-        words = list({w for p in parts for w in p})
-        found = dict(zip(words, self.replay.encode([w.encode("utf-8", "replace") for w in words])))
-        return [[i for w in p for i in found[w]] for p in parts]
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.ids) > _CACHE_LIMIT:
-            self.ids.clear()
-            self.decoded.clear()
-        fresh = []
-        for chunk in chunks.difference(self.ids):
-            core = chunk[1:] if chunk[:1] == "\n" else chunk
-            if not core or core[0].isspace() or core[-1].isspace():
-                self.ids[chunk] = None
-            else:
-                fresh.append(chunk)
-        for chunk, ids in zip(fresh, self._encode([c if c[0] == "\n" else " " + c for c in fresh])):
-            self.ids[chunk] = _text(ids)
-            self.decoded[chunk] = self.replay.decode(ids)
+        self.by_words = WordwiseEncoder(pattern, self._encode, self._join)
+
+    def _encode(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        found = self.replay.encode([w.encode("utf-8", "replace") for w in words])
+        return [(_text(ids), self.replay.decode(ids)) for ids in found]
+
+    @staticmethod
+    def _join(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        parts = list(parts)
+        return b"".join([ids for ids, _ in parts]), b"".join([raw for _, raw in parts])
+
+    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        for ids, _ in self.by_words(texts):
+            yield [int(i) for i in ids.split()]
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, SHA-256 of the decimal ids joined by spaces, SHA-256 of the decoded bytes."""
-        chunked = [t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn({c for chunks in chunked for c in chunks[1:]})
-        odd = [
-            i for i, chunks in enumerate(chunked)
-            if chunks[0][-1:].isspace() or any(self.ids[c] is None for c in chunks[1:])
-        ]
-        heads = list({chunks[0] for chunks in chunked})
-        head_ids = dict(zip(heads, self._encode(heads)))
-        whole = dict(zip(odd, self._encode([texts[i] for i in odd])))
-        for i, (head, *rest) in enumerate(chunked):
-            if i in whole:
-                ids, raw = _text(whole[i]), self.replay.decode(whole[i])
-            else:
-                ids = _text(head_ids[head]) + b"".join(map(self.ids.__getitem__, rest))
-                raw = self.replay.decode(head_ids[head]) + b"".join(map(self.decoded.__getitem__, rest))
+        for ids, raw in self.by_words(texts):
             yield (
                 ids.count(b" "), hashlib.sha256(ids[:-1]).hexdigest(), hashlib.sha256(raw).hexdigest()
             )
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        return self._encode(texts)
-
 
 def _text(ids: list[int]) -> bytes:
     return b"".join(b"%d " % i for i in ids)

@@ -3,85 +3,51 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.shared import rank_in_group, written
+from vacantia.llm.words import WordwiseEncoder
 
-_CACHE_LIMIT = 400_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkEncoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, by the ``tokenizers`` library.
+def id_encoder(vocabulary: str, pattern: str) -> WordwiseEncoder:
+    """Token ids by the ``tokenizers`` library, as little-endian 32-bit bytes.
 
-    The vocabulary's split pattern never joins a word with what stands before its leading space,
-    so a text is the concatenation of its space-led chunks, and a chunk met before is looked up.
-    Texts where white space meets white space are encoded in one call instead.
+    The strings of special tokens in a text are ordinary text.
     """
+    from tokenizers import Tokenizer
 
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        known = self.known
-        if len(known) > _CACHE_LIMIT:
-            known.clear()
-        fresh = list({c for chunks in texts for c in chunks} - known.keys())
-        plain = []
-        for chunk in fresh:
-            core = chunk[1:] if chunk[:1] == "\n" else chunk
-            if not core or core[0].isspace() or core[-1].isspace():
-                known[chunk] = None
-            else:
-                plain.append(chunk)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
-            known.update(zip(part, self._encode([c if c[0] == "\n" else " " + c for c in part])))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        chunked = []
-        for text in texts:
-            first, *rest = text.replace("\n", " \n").split(" ")
-            chunked.append((first, rest))
-        self.learn([rest for _, rest in chunked])
-        firsts = dict(zip(
-            distinct := list({f for f, _ in chunked}), self._encode(distinct)
-        ))
-        known = self.known
-        for text, (first, rest) in zip(texts, chunked):
-            ids = list(map(known.get, rest))
-            if None in ids or first[-1:].isspace():
-                yield self._encode([text])[0]
-            else:
-                yield firsts[first] + b"".join(ids)
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+
+    def encode(words: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    return WordwiseEncoder(pattern, encode, b"".join)
 
 
-def pieces(documents: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(
+    documents: DataFrame, vocabulary: str, pattern: str, capacity: int = 2048, end_id: int = 0
+) -> DataFrame:
     """One row per piece of a document: where it starts, how long it is, CRC-32 of its ids.
 
     A document is its ids and ``end_id`` (so an empty or NULL text is one token). Documents of at
     most ``capacity`` tokens stay whole; longer ones are cut into pieces of ``capacity``, the
-    first taking the remainder. Texts are tokenised whole and in small groups, so a task
+    first taking the remainder. ``pattern`` is the vocabulary's own split pattern. Texts are tokenised whole and in small groups, so a task
     holds one group's ids.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ChunkEncoder(vocabulary)
+        encode = id_encoder(vocabulary, pattern)
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at:at + 500]

@@ -48,7 +48,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return packing.pack(packing.pieces(documents, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(packing.pieces(
+        documents, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    ))
 
 
 @query("op3_pseudonyms")
