@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.shared import rank_in_group, written
-from vacantia.llm.words import WordwiseEncoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def id_encoder(vocabulary: str, pattern: str) -> WordwiseEncoder:
-    """Token ids by the ``tokenizers`` library, as little-endian 32-bit bytes.
+def id_encoder(vocabulary: str, pattern: str) -> Callable[[str], bytes]:
+    """Whole texts to token ids, as little-endian 32-bit bytes.
 
-    The strings of special tokens in a text are ordinary text.
+    The vocabulary is the ``tokenizers`` file. Its tokens are read as ranks by ``tiktoken``, which gives
+    the same ids (a test holds the two libraries against each other) in a third of the time. The
+    strings of special tokens in a text are ordinary text.
     """
-    from tokenizers import Tokenizer
+    import tiktoken
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-
-    def encode(words: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    return WordwiseEncoder(pattern, encode, b"".join)
+    with open(vocabulary, encoding="utf-8") as file:
+        tokens = json.load(file)["model"]["vocab"]
+    # The file writes bytes as letters: printable ones as themselves, the others from 256 on.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letters = {chr(b): b for b in printable}
+    letters.update({chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printable)))})
+    ranks = {
+        bytes(letters[c] for c in token): rank for token, rank in tokens.items() if all(c in letters for c in token)
+    }
+    encoding = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def pieces(
@@ -41,28 +46,24 @@ def pieces(
 
     A document is its ids and ``end_id`` (so an empty or NULL text is one token). Documents of at
     most ``capacity`` tokens stay whole; longer ones are cut into pieces of ``capacity``, the
-    first taking the remainder. ``pattern`` is the vocabulary's own split pattern. Texts are tokenised whole and in small groups, so a task
-    holds one group's ids.
+    first taking the remainder. ``pattern`` is the vocabulary's own split pattern. Texts are tokenised whole,
+    one at a time.
     """
     end = array("I", [end_id]).tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = id_encoder(vocabulary, pattern)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at:at + 500]
-                rows = []
-                texts = ["" if t is None else t for t in part["text"]]
-                for doc_id, ids in zip(part["doc_id"], encode(texts)):
-                    ids += end
-                    total = len(ids) // 4
-                    begin, size = 0, (total - 1) % capacity + 1
-                    number = 0
-                    while begin < total:
-                        span = ids[4 * begin:4 * (begin + size)]
-                        rows.append((doc_id, number, begin, size, zlib.crc32(span)))
-                        begin, size, number = begin + size, capacity, number + 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                ids = encode("" if text is None else text) + end
+                total = len(ids) // 4
+                begin, size, number = 0, (total - 1) % capacity + 1, 0
+                while begin < total:
+                    span = ids[4 * begin:4 * (begin + size)]
+                    rows.append((doc_id, number, begin, size, zlib.crc32(span)))
+                    begin, size, number = begin + size, capacity, number + 1
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     typed = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # NULL ids would turn the column into floats in pandas: keep them apart as text.
