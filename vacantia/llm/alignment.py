@@ -14,17 +14,25 @@ from vacantia.llm.shared import written
 
 
 def line_runs(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
-    """For every start the shortest run of lines with ``least`` words: (start, end)."""
-    runs, end, total = [], 0, 0
-    for start in range(len(words)):
-        while end < len(words) and total < least:
-            total += words[end]
-            end += 1
-        if total < least:
-            break
-        runs.append((start, end))
-        total -= words[start]
-    return runs
+    """For every start, and for every end, the shortest run of lines with ``least`` words: (start, end).
+
+    Every line of a stretch with ``least`` words or more is in such a run inside the stretch.
+    """
+    def shortest(counts: list[int]) -> list[tuple[int, int]]:
+        runs, end, total = [], 0, 0
+        for start in range(len(counts)):
+            while end < len(counts) and total < least:
+                total += counts[end]
+                end += 1
+            if total < least:
+                break
+            runs.append((start, end))
+            total -= counts[start]
+        return runs
+
+    n = len(words)
+    backward = [(n - end, n - start) for start, end in shortest(words[::-1])]
+    return sorted({*shortest(words), *backward})
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +111,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
     the new ``text``, and ``n_deleted`` (lines). Columns of these names for own use are replaced.
 
     1. Each document gives the hashes of its shortest line runs of ``min_words`` words. Such a run is
-       the rare line by which overlap shows: any common block holds one. Every run is tied to the
+       the rare line by which overlap shows: any line of a common block is in one. Every run is tied to the
        first document that has it, so a run shared by m documents gives m - 1 pairs, not m squared,
        and no run is too frequent to be used.
     2. Pairs meet on arrays of line hashes, not on texts, and are aligned one by one.
