@@ -98,7 +98,7 @@ def test_explore(spark):
     assert found.jobs.count() == 1 and row.core.job_id == "7"
     assert row.employment_details.workplace_type == "Remote"
     assert row.description_insights.description_summary == row.full_description.description[:500]
-    assert answers.explore(cards, details, "2026-02-01 00:00:00", limit=99).summary.first().limit == 10
+    assert answers.explore(cards, details, "2026-02-01 00:00:00", limit=99).summary.first().limit == 99
 
 
 LEGACY = [
@@ -139,6 +139,23 @@ def test_migrate_files(spark, tmp_path):
     assert rows["2"].posted_date_iso == "2026-02-15T11:00:00Z" and rows["2"].easy_apply is False
 
 
+def test_migrate_into_an_existing_store(spark, tmp_path):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.jsonl").write_text("\n".join(json.dumps({"job_id": str(i), "title": "old", "company": "c"}) for i in range(20)))
+    migrate.migrate_files(spark, str(source), str(target), "2026-03-01 00:00:00", 4)
+    (source / "a.jsonl").write_text("\n".join(json.dumps({"job_id": str(i), "title": "new", "company": "c"}) for i in (3, 99)))
+    migrate.migrate_files(spark, str(source), str(target), "2026-03-02 00:00:00", 4)
+    titles = {r.job_id: r.title for r in spark.read.parquet(str(target)).collect()}
+    assert titles == {**{str(i): "old" for i in range(20)}, "3": "new", "99": "new"}
+    assert spark.read.parquet(str(target)).count() == 21
+
+
+def test_broken_declaration_does_not_end_the_job(spark):
+    pages = spark.createDataFrame([(1, "<![foo bar]>"), (2, "<a href='x'>t</a><![1"), (3, "<![foo")], "page_id long, html string")
+    assert html.read_pages(pages, "page_id", "html", (html.CARD_GROUP,)).count() == 3
+
+
 def test_legacy_flags(spark):
     df = spark.createDataFrame([LEGACY[0]], schema=jsonl.LEGACY)
     row = jsonl.legacy_to_jobs(df, "2026-03-01 00:00:00", default_source="board").first()
@@ -155,7 +172,7 @@ def test_crawl_plan(spark):
 
 
 def test_live_arguments(spark):
-    assert [crawl.pages_for(n) for n in (0, 1, 10, 11, 95, 1000)] == [1, 1, 1, 2, 10, 10]
+    assert [crawl.pages_for(n) for n in (0, 1, 10, 11, 95, 1000)] == [1, 1, 1, 2, 10, 100]
     df = spark.createDataFrame([(50,), (33,), (None,)], "d int")
     assert [r[0] for r in df.select(crawl.valid_distance(F.col("d"))).collect()] == [50, 25, 25]
 

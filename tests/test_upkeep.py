@@ -95,6 +95,23 @@ def test_upsert_into_rewrites_touched_buckets_only(spark, rows_of, tmp_path):
     assert len({p.parent.name for p in untouched}) >= 14
 
 
+def test_full_write_replaces_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = spark.range(50).select(F.col("id").cast("string").alias("k"))
+    merge.write_bucketed(table, path, "k", 8)
+    merge.write_bucketed(table.limit(1), path, "k", 8)
+    assert spark.read.parquet(path).count() == 1
+    merge.write_bucketed(table, path, "k", 3)
+    assert spark.read.parquet(path).count() == 50
+    with pytest.raises(ValueError):
+        merge.upsert_into(spark, path, table.withColumn("seq", F.lit(1)), "k", "seq", 8)
+
+
+def test_retention_keeps_rows_without_a_time(spark):
+    jobs = spark.createDataFrame([("a", None)], "job_id string, scraped_at timestamp_ntz")
+    assert upkeep.retention(jobs, "2026-01-01 00:00:00", 60).count() == 1
+
+
 def test_merge_keep(spark, rows_of):
     table = spark.createDataFrame([("1", "a", "c1"), ("2", "b", "c2")], "k string, v string, created string")
     batch = spark.createDataFrame([("2", None, "late"), ("3", "n", "c3")], "k string, v string, created string")

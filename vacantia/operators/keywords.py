@@ -40,6 +40,10 @@ class Condition:
     def holds(self, evidence: Evidence) -> Column:
         raise NotImplementedError
 
+    def holds_without_tokens(self) -> bool:
+        """Does it hold for a posting in which no asked token occurs?"""
+        raise NotImplementedError
+
     def asks_for(self, token: Column) -> Column:
         """Is the token one that some part of the condition looks for?"""
         atoms = self.atoms()
@@ -76,6 +80,9 @@ class Both(Condition):
     def holds(self, evidence):
         return self.left.holds(evidence) & self.right.holds(evidence)
 
+    def holds_without_tokens(self):
+        return self.left.holds_without_tokens() and self.right.holds_without_tokens()
+
 
 @dataclass(frozen=True)
 class Either(Condition):
@@ -88,6 +95,9 @@ class Either(Condition):
     def holds(self, evidence):
         return self.left.holds(evidence) | self.right.holds(evidence)
 
+    def holds_without_tokens(self):
+        return self.left.holds_without_tokens() or self.right.holds_without_tokens()
+
 
 @dataclass(frozen=True)
 class Not(Condition):
@@ -99,6 +109,9 @@ class Not(Condition):
     def holds(self, evidence):
         return ~self.inner.holds(evidence)
 
+    def holds_without_tokens(self):
+        return not self.inner.holds_without_tokens()
+
 
 @dataclass(frozen=True)
 class Atom(Condition):
@@ -119,6 +132,9 @@ class Atom(Condition):
     def holds(self, evidence):
         return evidence(self)
 
+    def holds_without_tokens(self):
+        return False
+
     def covers(self, field: str) -> bool:
         return self.field in (None, field)
 
@@ -257,9 +273,11 @@ def search_index(
 
     Rows of a token found everywhere are spread by key. One shuffle on the key serves both
     steps, and a group holds at most the positions of the asked tokens in one posting. A
-    condition that also holds for postings without any asked token needs ``everything`` (all
-    keys).
+    condition that also holds for postings without any asked token, such as a bare NOT, needs
+    ``everything`` (all keys) and raises without it.
     """
+    if everything is None and condition.holds_without_tokens():
+        raise ValueError("the condition holds for postings without its words: pass all keys")
     atoms = list(dict.fromkeys(condition.atoms()))
     wanted = index.filter(condition.asks_for(F.col("token")))
     per_field = wanted.repartition(F.col(key)).groupBy(key, "field").agg(

@@ -116,14 +116,15 @@ def write_bucketed(
     Rows are shuffled by bucket and key hash, so a bucket is written by several tasks, and
     sorted by key, so a search for a few keys reads few Parquet pages. Choose the two numbers
     so that a file is some hundred MB; ``spark.sql.shuffle.partitions`` should reach their
-    product on a first full write.
+    product on a first full write. The whole table is replaced: no row, bucket or file of an
+    earlier write stays.
     """
     (
         table.withColumn(BUCKET, bucket_of(key, buckets))
         .repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit("file"), F.col(key)), F.lit(files_per_bucket)))
         .sortWithinPartitions(BUCKET, key)
         .write.mode("overwrite").partitionBy(BUCKET)
-        .option("partitionOverwriteMode", "dynamic").parquet(path)
+        .option("partitionOverwriteMode", "static").parquet(path)
     )
 
 
@@ -139,18 +140,23 @@ def upsert_into(
 
     Only bucket numbers (at most ``buckets``) come to the driver, to prune the scan. The new buckets are written to the shared folder first and copied in from there, so the
     table is never read and overwritten by one job, and a failed copy can be repeated. With
-    a table format that has MERGE INTO, use that instead.
+    a table format that has MERGE INTO, use that instead. Batch columns that the table lacks are
+    left out; ``buckets`` has to be the number the table was written with.
     """
     touched = [
         row[0] for row in batch.select(bucket_of(key, buckets).alias(BUCKET)).distinct().collect()
     ]
     if not touched:
         return
-    current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
+    stored = spark.read.parquet(path)
+    if not stored.filter(F.col(BUCKET) != bucket_of(key, buckets)).isEmpty():
+        raise ValueError(f"{path} was not written with {buckets} buckets")
+    current = stored.filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
     staged = work_dir(spark, "upsert")
-    write_bucketed(upsert_replace(current, batch, key, order), staged, key, buckets)
+    merged = upsert_replace(current, batch, key, order).select(*current.columns)
+    write_bucketed(merged, staged, key, buckets)
     (
-        spark.read.parquet(staged)
+        spark.read.parquet(staged).sortWithinPartitions(BUCKET, key)
         .write.mode("overwrite").partitionBy(BUCKET)
         .option("partitionOverwriteMode", "dynamic").parquet(path)
     )

@@ -76,7 +76,7 @@ def drop_from_index(index: DataFrame, removed: DataFrame, key: str = "job_id") -
 
 
 def write_index(
-    index: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 8
+    index: DataFrame, path: str, buckets: int = 64, files_per_bucket: int = 8, key: str = "job_id"
 ) -> None:
     """Store by token hash, sorted by token, so a search opens few row groups.
 
@@ -85,7 +85,8 @@ def write_index(
     """
     (
         index.withColumn("token_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
-        .repartition("token_bucket", F.pmod(F.xxhash64("job_id"), F.lit(files_per_bucket)))
+        .repartition("token_bucket", F.pmod(F.xxhash64(key), F.lit(files_per_bucket)))
         .sortWithinPartitions("token_bucket", "token")
-        .write.mode("overwrite").partitionBy("token_bucket").parquet(path)
+        .write.mode("overwrite").partitionBy("token_bucket")
+        .option("partitionOverwriteMode", "static").parquet(path)
     )

@@ -14,8 +14,12 @@ from vacantia.operators.lookup import lookup
 def retention(
     jobs: DataFrame, as_of: Column | datetime | str, max_age_seconds: int, time: str = "scraped_at"
 ) -> DataFrame:
-    """Rows not older than the limit. The cut-off is a constant, so it reaches the scan."""
-    return jobs.filter(F.col(time) >= seconds_before(instant(as_of), max_age_seconds))
+    """Rows not older than the limit. The cut-off is a constant, so it reaches the scan.
+
+    Rows without a time are not known to be old and stay.
+    """
+    young = F.col(time) >= seconds_before(instant(as_of), max_age_seconds)
+    return jobs.filter(young | F.col(time).isNull())
 
 
 def cascade(children: DataFrame, parents: DataFrame, on: str) -> DataFrame:

@@ -14,8 +14,6 @@ from vacantia.operators import ordering, sections
 from vacantia.plans.ingest import first_ids
 from vacantia.plans.search import SearchFilters, envelope, search_page
 
-LIVE_LIMIT = 10
-
 
 class Answer(NamedTuple):
     jobs: DataFrame
@@ -42,13 +40,13 @@ def query_jobs(
 
 
 def explore(
-    cards: DataFrame, details: DataFrame, as_of: Column | datetime | str, limit: int = LIVE_LIMIT
+    cards: DataFrame, details: DataFrame, as_of: Column | datetime | str, limit: int = 10
 ) -> Answer:
     """Freshly read pages: details of the first cards in the fixed live sections.
 
-    ``details`` are enriched detail rows; the limit is kept between 1 and 10.
+    ``details`` are enriched detail rows; a limit below 1 counts as 1.
     """
-    limit = max(1, min(limit, LIVE_LIMIT))
+    limit = max(1, limit)
     chosen = first_ids(cards, limit).distinct()
     now = instant(as_of)
     rows = details.join(F.broadcast(chosen), "job_id", "left_semi").withColumn("scraped_at", now)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from vacantia import constants as C
 from vacantia.operators import filters, keywords, ordering
 from vacantia.operators.lookup import lookup
+from vacantia.operators.merge import BUCKET
 
 # The keys of a page up to this size are brought to the driver to prune the wide scan; a
 # larger page is joined by shuffle.
-PINNED_KEYS = 10_000
 
 COMPANY_COLUMNS = (
     "company_size", "company_industry", "company_description", "company_website",
@@ -74,7 +74,8 @@ def matching(
         if index is None:
             found = found.filter(condition.scan(keywords.field_texts(found)))
         else:
-            hits = keywords.search_index(index, condition)
+            keys = found.select("job_id") if condition.holds_without_tokens() else None
+            hits = keywords.search_index(index, condition, everything=keys)
             found = found.join(hits, "job_id", "left_semi")
     tracked = applications.select(
         "job_id", F.col("status").alias("application_status"), "applied_at", "notes"
@@ -105,22 +106,18 @@ def search_page(
 ) -> DataFrame:
     """One ordered page of full postings.
 
-    Filtering, joining and ranking run on keys and sort columns only. The at most ``limit``
-    chosen keys then become a literal filter on the postings, which reaches the Parquet scan:
-    with files sorted by key, only the pages that hold them are read for the wide columns.
+    Filtering, joining and ranking run on keys and sort columns only; the at most ``limit`` chosen
+    keys then meet the wide columns, in one lazy plan for every limit. On a table written by
+    ``write_bucketed`` the page carries its buckets, so that only these are read.
     """
     order = ordering.order_for(sort_by)
     sort_columns = ["posted_at", "scraped_at", "number_of_applicants"]
+    keys = ["job_id"] + [BUCKET] * (BUCKET in jobs.columns)
     ranked = matching(jobs, applications, wanted, as_of, index).select(
-        "job_id", *sort_columns, "application_status", "applied_at", "notes"
+        *keys, *sort_columns, "application_status", "applied_at", "notes"
     )
     chosen = ordering.page(ranked, order, limit, offset).drop(*sort_columns)
-    wide = jobs
-    if limit <= PINNED_KEYS:
-        rows = chosen.collect()
-        wide = jobs.filter(F.col("job_id").isin([row["job_id"] for row in rows]))
-        chosen = F.broadcast(jobs.sparkSession.createDataFrame(rows, chosen.schema))
-    full = with_company(wide.join(chosen, "job_id"), companies, spread=False)
+    full = with_company(jobs.join(chosen, keys), companies, spread=False)
     return full.orderBy(*order).limit(limit)
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "vacantia", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,24 +30,12 @@ def build_session(app_name: str = "vacantia", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def spread_small_scan(scan: DataFrame) -> DataFrame:
-    """Give every core a share of an input with fewer splits than cores.
-
-    For CPU-heavy work straight on a table scan. A large input has more splits than there are
-    cores and is returned as it is, without a shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path for tables and stream checkpoints that must outlive an executor.
 
-    The base is the shared folder the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset (tests, local runs) is a temporary folder used instead.
+    The base is the shared folder the cluster names in ``spark.checkpoint.dir``, or the warehouse
+    where none is named. Both are folders that driver and executors share.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="vacantia-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/vacantia/{label}-{uuid.uuid4().hex}"

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from vacantia import constants as C
 
 PAGE_SIZE = 10
-MAX_LIVE_PAGES = 10
 
 
 def pages_for(limit: int) -> int:
-    """Result pages needed for so many postings, within the allowed range."""
-    return max(1, min(-(-limit // PAGE_SIZE), MAX_LIVE_PAGES))
+    """Result pages needed for so many postings, at least one."""
+    return max(1, -(-limit // PAGE_SIZE))
 
 
 def valid_distance(distance: Column) -> Column:

@@ -179,6 +179,13 @@ class _PageReader(HTMLParser):
         self.silent = 0
         self.pending: list[str] = []
 
+    def parse_marked_section(self, i, report=1):
+        """Broken sections, as <![foo bar]>, are comments to a browser; the base class raises."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
         named = {key: value or "" for key, value in reversed(attrs)}

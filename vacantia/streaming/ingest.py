@@ -127,12 +127,16 @@ def routing_handler(
 
 
 def change_counts(
-    changes: DataFrame, window: str = "1 hour", delay: str = "1 day",
+    changes: DataFrame, window: str = "1 hour", delay: str | None = None,
     time: str = "changed_at", kind: str = "field_name",
 ) -> DataFrame:
-    """Edits per tumbling window and field. The watermark bounds the state kept."""
+    """Edits per tumbling window and field.
+
+    Without a ``delay`` every edit counts, however late. A delay bounds the state and drops later
+    edits; Spark reports their number as ``numRowsDroppedByWatermark``.
+    """
     return (
-        changes.withWatermark(time, delay)
+        (changes.withWatermark(time, delay) if delay else changes)
         .groupBy(F.window(time, window).alias("_w"), kind)
         .agg(F.count(F.lit(1)).alias("changes"))
         .select(F.col("_w.start").alias("window_start"), kind, "changes")
