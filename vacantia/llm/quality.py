@@ -177,10 +177,11 @@ def score(documents: DataFrame, model: OrdinalModel, good: int = 2) -> DataFrame
     ``expected_grade`` is the sum of the tails, ``p_good`` is P(grade >= ``good``). A NULL text
     counts as empty. No row is lost or added; equal texts get equal scores.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays: a broadcast is pickled by reference to its class.
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.cuts, model.bits))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
+        held = OrdinalModel(*shared.value)
         features = Featurizer(held.bits)
         for batch in batches:
             latent = np.array([held.latent(features(t)) for t in batch["text"]], dtype=np.float64)
