@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import (
-    alignment, bpe, graph_search, jaccard, packing, pseudonyms, quality, quotations, voronoi, wrappers,
+    alignment, bpe, clustering, graph_search, jaccard, licenses, packing, pseudonyms, quality, quotations, repair,
+    voronoi, wrappers,
 )
+from vacantia.llm.oracles import clustering_sql, licenses_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,3 +137,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "conv_id", "turn", "role", "position", "parent_turn", "thread_turn", "quoted_levels", "own_text", "formatted"
     )
+
+
+@query("op11_license_scan", licenses_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op12_centroid_clustering", clustering_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)
