@@ -12,9 +12,7 @@ from vacantia import constants as C
 from vacantia.operators import filters, keywords, ordering
 from vacantia.operators.lookup import lookup
 from vacantia.operators.merge import BUCKET
-
-# The keys of a page up to this size are brought to the driver to prune the wide scan; a
-# larger page is joined by shuffle.
+from vacantia.operators.stored_index import StoredIndex
 
 COMPANY_COLUMNS = (
     "company_size", "company_industry", "company_description", "company_website",
@@ -59,7 +57,7 @@ def matching(
     applications: DataFrame,
     wanted: SearchFilters,
     as_of: Column | datetime | str,
-    index: DataFrame | None = None,
+    index: StoredIndex | DataFrame | None = None,
 ) -> DataFrame:
     """Matching postings with application_status, applied_at and notes.
 
@@ -68,11 +66,13 @@ def matching(
     found = jobs.filter(posting_predicate(wanted, as_of))
     if wanted.keywords:
         condition = (
-            keywords.from_text(wanted.keywords)
+            keywords.from_text(wanted.keywords, C.INDEXED_FIELDS)
             if isinstance(wanted.keywords, str) else wanted.keywords
         )
         if index is None:
             found = found.filter(condition.scan(keywords.field_texts(found)))
+        elif isinstance(index, StoredIndex):
+            found = found.join(index.search(condition), "job_id", "left_semi")
         else:
             keys = found.select("job_id") if condition.holds_without_tokens() else None
             hits = keywords.search_index(index, condition, everything=keys)
@@ -102,7 +102,7 @@ def search_page(
     sort_by: str = ordering.SORT_DEFAULT,
     limit: int = 20,
     offset: int = 0,
-    index: DataFrame | None = None,
+    index: StoredIndex | DataFrame | None = None,
 ) -> DataFrame:
     """One ordered page of full postings.
 
@@ -141,10 +141,10 @@ def count_matches(
     applications: DataFrame,
     wanted: SearchFilters,
     as_of: Column | datetime | str,
-    index: DataFrame | None = None,
+    index: StoredIndex | DataFrame | None = None,
 ) -> DataFrame:
     rows = matching(jobs, applications, wanted, as_of, index).select("job_id")
-    return rows.agg(F.count_distinct("job_id").alias("total"))
+    return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def envelope(
@@ -154,7 +154,7 @@ def envelope(
     as_of: Column | datetime | str,
     limit: int = 20,
     offset: int = 0,
-    index: DataFrame | None = None,
+    index: StoredIndex | DataFrame | None = None,
 ) -> DataFrame:
     """returned, total and limit of a page, from the match count alone."""
     total = F.col("total")
