@@ -392,7 +392,8 @@ def repair(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     fault = F.col("fault")
     span = F.max("turn").cast("decimal(38,0)") - F.min("turn").cast("decimal(38,0)") + 1 - F.count_distinct("turn")
     counts = places.groupBy("conv_id").agg(
-        F.coalesce(F.least(span, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"), F.lit(0)).alias("gaps"),
+        F.when(F.max("turn").isNull(), 0).otherwise(
+            F.least(span, F.lit(2**63 - 1).cast("decimal(38,0)"))).cast("long").alias("gaps"),
         *[F.count(F.when(fault == letter, 1)).alias(name) for letter, name in
           (("b", "blank"), ("d", "duplicate"), ("t", "truncated"))])
     parts = F.array_sort(F.collect_list(F.struct("block", "audit")))
