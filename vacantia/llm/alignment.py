@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import written
+from vacantia.llm.shared import fresh, written
 
 
 def line_runs(hashes: list[int], words: list[int], least: int) -> list[tuple[int, int]]:
     """For every start, and for every end, the shortest run of lines with ``least`` words: (start, end).
 
-    Every line of a stretch with ``least`` words or more is in such a run inside the stretch.
+    Runs start and end at lines with words, so that a line lies in at most ``least`` runs either way,
+    however many blank lines there are. Every line with words of a stretch with ``least`` words or
+    more is in such a run inside the stretch.
     """
     def shortest(counts: list[int]) -> list[tuple[int, int]]:
         runs, end, total = [], 0, 0
@@ -26,7 +28,8 @@ def line_runs(hashes: list[int], words: list[int], least: int) -> list[tuple[int
                 end += 1
             if total < least:
                 break
-            runs.append((start, end))
+            if counts[start]:
+                runs.append((start, end))
             total -= counts[start]
         return runs
 
@@ -118,9 +121,11 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
     3. The deleted line numbers of all its pairs are applied to the document at once.
 
     Rows with a NULL ``doc_id`` or text are returned as they are. Rows with equal ``doc_id`` and text are
-    treated alike and are not compared with each other. Lines end at ``\\n`` only.
+    treated alike and are not compared with each other; of two rows with one ``doc_id`` and different
+    texts neither is later, so lines they share stay. Lines end at ``\\n`` only.
     """
-    docs = documents.withColumn("__row", F.xxhash64("doc_id", "text"))
+    own, gone = fresh(documents.columns, "row", "lost")
+    docs = documents.withColumn(own, F.xxhash64("doc_id", "text"))
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +136,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
 
         for batch in batches:
             out = []
-            for row, doc_id, text in zip(batch["__row"], batch["doc_id"], batch["text"]):
+            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
                 lines = text.split("\n")
                 words = [len(x.split()) for x in lines]
                 if sum(words) < min_words:
@@ -145,7 +150,7 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "row", "hashes", "words", "runs"])
 
     lined = written(
-        usable.select("__row", F.col("doc_id").cast("long"), "text").mapInPandas(
+        usable.select(F.col(own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
             lines_of,
             "doc_id long, row long, hashes array<long>, words array<int>, runs array<long>",
         ),
@@ -180,20 +185,20 @@ def dedup_lines(documents: DataFrame, min_words: int = 50) -> DataFrame:
     )
     # Gathered per document: at most one entry for each of its own lines and pairs.
     lost = matched.select("row", F.explode("lost").alias("line")).distinct().groupBy("row").agg(
-        F.collect_list("line").alias("__lost")
-    )
-    kept_lines = F.expr(
-        "array_join(filter(split(text, '\\n', -1), (x, i) -> NOT array_contains(__lost, i)), '\\n')"
+        F.collect_list("line").alias("lines")
     )
+    # Numbers of the lines that stay, by a hash set; the lines are cut once.
+    kept_lines = F.transform(F.array(F.split("text", "\n", -1)), lambda cut: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), gone), lambda i: F.get(cut, i)), "\n"))[0]
     joined = docs.drop("n_deleted").join(
-        written(lost, "lost").select(F.col("row").alias("__row"), "__lost").hint("shuffle_hash"),
-        "__row", "left",
+        written(lost, "lost").select(F.col("row").alias(own), F.col("lines").alias(gone)).hint("shuffle_hash"),
+        own, "left",
     )
     return joined.select(
         *[
-            F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept_lines).alias("text")
+            F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept_lines).alias("text")
             if c == "text" else F.col(f"`{c}`")
             for c in documents.columns if c != "n_deleted"
         ],
-        F.coalesce(F.size("__lost"), F.lit(0)).alias("n_deleted"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("n_deleted"),
     )

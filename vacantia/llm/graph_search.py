@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import map_groups, written
-from vacantia.llm.vectors import matrix, usable
+from vacantia.llm.shared import map_served, written
+from vacantia.llm.vectors import matrix, of_each_length, usable
 
 
 class ProximityGraph:
@@ -132,7 +132,7 @@ class ProximityGraph:
 
 def nearest(
     vectors: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 4000, degree: int = 32,
-    beam: int = 128, block_queries: int = 2000,
+    beam: int = 128,
 ) -> DataFrame:
     """Each query's ``k`` nearest rows found: ``(query_id, rank, vec_id, score)``.
 
@@ -143,10 +143,15 @@ def nearest(
 
     Equal vectors are one point of the graph, which remembers its k + 1 smallest ids (a query
     needs no more), so copies can neither crowd a graph nor a beam. Points are dealt by hash into
-    shards of about ``shard_rows``; each shard builds a graph of all its points and is searched
-    by every query with a beam of ``beam``; the shards' findings are merged. A shard of few points is
-    searched whole. No queries or an empty table give no rows.
+    shards of about ``shard_rows``; each shard builds its graph once, of all its points, and every query
+    streams past it with a beam of ``beam``; the shards' findings are merged. A shard of few points is
+    searched whole. No queries or an empty table give no rows. Vectors are compared with others of
+    their length only.
     """
+    return of_each_length(vectors, lambda same: _nearest(same, k, every, shard_rows, degree, beam))
+
+
+def _nearest(vectors: DataFrame, k: int, every: int, shard_rows: int, degree: int, beam: int) -> DataFrame:
     rows = written(usable(vectors, zero=False), "vectors")
     point = F.xxhash64("embedding")
     salted = Window.partitionBy("point", "embedding", "salt").orderBy("vec_id")
@@ -160,24 +165,22 @@ def nearest(
     )
     shards = max(1, -(-points.count() // shard_rows))
     queries = rows.filter(F.col("vec_id") % every == 0)
-    asked = max(1, -(-queries.count() // block_queries))
     dealt = points.select(
         F.pmod("point", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_query"),
-        F.lit(None).cast("long").alias("vec_id"), "embedding", "ids",
-    ).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+        F.lit(0).cast("long").alias("vec_id"), "embedding", "ids",
+    )
     put = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_query"),
         "vec_id", "embedding", F.lit(None).cast("array<long>").alias("ids"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(asked)).cast("int").alias("part"),
     )
 
-    def solved(block: dict[str, np.ndarray]) -> list[tuple[int, int, float]]:
-        is_query = block["is_query"].astype(bool)
-        if is_query.all() or not is_query.any():
-            return []
-        vectors, queries = matrix(block["embedding"][~is_query]), matrix(block["embedding"][is_query])
-        query_ids, ids = block["vec_id"][is_query].astype(np.int64), block["ids"][~is_query]
-        graph = ProximityGraph(vectors, degree)
+    def built(shard: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, ProximityGraph]:
+        vectors = matrix(shard["embedding"])
+        return vectors, shard["ids"], ProximityGraph(vectors, degree)
+
+    def searched(state, asked: dict[str, np.ndarray]) -> list[tuple[int, int, float]]:
+        vectors, ids, graph = state
+        queries, query_ids = matrix(asked["embedding"]), asked["vec_id"]
         out = []
         for at in range(0, len(queries), 256):
             some = queries[at:at + 256]
@@ -191,8 +194,8 @@ def nearest(
                 out += [(int(query_id), i, d) for d, i in best]
         return out
 
-    found = map_groups(
-        dealt.unionByName(put), ["shard", "part"], solved, "query_id long, vec_id long, score double"
+    found = map_served(
+        dealt.unionByName(put), ["shard"], "is_query", built, searched, "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(

@@ -10,14 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.shared import fresh
+
 ROUNDS = 8
 
+# Fixed value: the greatest length of an e-mail address.
+_EMAIL_CHARS = 320
+
+#: Steps in which a permuted number that is no date is permuted on; see :func:`_walked`.
+_STEPS = 16
+
 # The calendar range of dates, and its length in days, 17 x 4297.
 _FIRST_DAY, _DAYS, _DAYS_LEFT = "1900-01-01", 73049, 17
 
 # The patterns by kind, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "iso_date": r"(?<![0-9/.-])[0-9]{4}([-/.])(?:0[1-9]|1[0-2])\1[0-3][0-9](?![0-9]|[-/.][0-9])",
     "day_date": r"(?<![0-9/.-])[0-3]?[0-9]([-/.])[0-3]?[0-9]\2[0-9]{4}(?![0-9]|[-/.][0-9])",
@@ -70,28 +78,41 @@ def permuted_chars(value: Column, key: str, label: str) -> Column:
 
     # Each round goes through a one-element array, so that its text is computed once.
     state = F.array(F.struct(left.alias("l"), right.alias("r")))
+
+    # A function per round: a lambda's second parameter, default or not, would be taken for the index.
+    def round_of(turn: int):
+        def right_moves(s: Column) -> Column:
+            return F.struct(s["l"].alias("l"), shifted(s["r"], s["l"], turn).alias("r"))
+
+        def left_moves(s: Column) -> Column:
+            return F.struct(shifted(s["l"], s["r"], turn).alias("l"), s["r"].alias("r"))
+
+        return right_moves if turn % 2 else left_moves
+
     for turn in range(ROUNDS):
-        if turn % 2:
-            state = F.transform(state, lambda s, t=turn: F.struct(
-                s["l"].alias("l"), shifted(s["r"], s["l"], t).alias("r")))
-        else:
-            state = F.transform(state, lambda s, t=turn: F.struct(
-                shifted(s["l"], s["r"], t).alias("l"), s["r"].alias("r")))
+        state = F.transform(state, round_of(turn))
     return F.concat(state[0]["l"], state[0]["r"])
 
 
-def permuted_number(value: Column, left_size: int, right_size: int, key: str, label: str) -> Column:
+def permuted_number(value: Column, left_size: int | Column, right_size: int | Column, key: str, label: str) -> Column:
     """Permutes 0 .. left_size * right_size - 1 onto itself: two digits of mixed radix shift each other."""
     state = F.array(F.struct(
         F.floor(value / right_size).cast("long").alias("l"), F.pmod(value, F.lit(right_size)).cast("long").alias("r")
     ))
+
+    def round_of(turn: int):
+        def right_moves(s: Column) -> Column:
+            by = _number(_digest(key, f"{label}{turn}", s["l"].cast("string")))
+            return F.struct(s["l"].alias("l"), F.pmod(s["r"] + by, F.lit(right_size)).alias("r"))
+
+        def left_moves(s: Column) -> Column:
+            by = _number(_digest(key, f"{label}{turn}", s["r"].cast("string")))
+            return F.struct(F.pmod(s["l"] + by, F.lit(left_size)).alias("l"), s["r"].alias("r"))
+
+        return right_moves if turn % 2 else left_moves
+
     for turn in range(ROUNDS):
-        if turn % 2:
-            state = F.transform(state, lambda s, t=turn: F.struct(s["l"].alias("l"), F.pmod(
-                s["r"] + _number(_digest(key, f"{label}{t}", s["l"].cast("string"))), F.lit(right_size)).alias("r")))
-        else:
-            state = F.transform(state, lambda s, t=turn: F.struct(F.pmod(
-                s["l"] + _number(_digest(key, f"{label}{t}", s["r"].cast("string"))), F.lit(left_size)).alias("l"), s["r"].alias("r")))
+        state = F.transform(state, round_of(turn))
     return state[0]["l"] * right_size + state[0]["r"]
 
 
@@ -146,16 +167,57 @@ def _iso_date(m: Column, key: str) -> Column:
     return F.replace(F.date_format(moved, "yyyy-MM-dd"), F.lit("-"), m.substr(5, 1))
 
 
+def _walked(date: Column, key: str) -> Column:
+    """Permutes the dates of one written form onto themselves.
+
+    ``date`` holds the numbers ``first``, ``second`` and ``year``, the ranges ``low1``, ``n1``, ``low2``, ``n2`` of the
+    form's two numbers, and whether the day comes first. All combinations of the ranges are permuted, on
+    and on until one is a date again. As a permutation runs in circles this is one to one on dates; at
+    most a twentieth of the combinations are no dates, so that ``_STEPS`` steps are always enough.
+    """
+    def split(d: Column, n: Column) -> list[Column]:
+        return [F.floor(n / d["n2"]).cast("long") % d["n1"] + d["low1"], n % d["n2"] + d["low2"],
+                F.floor(n / (d["n1"] * d["n2"])).cast("long") + 1900]
+
+    def is_date(d: Column, n: Column) -> Column:
+        first, second, year = [p.cast("string") for p in split(d, n)]
+        day, month = F.when(d["day_first"], first).otherwise(second), F.when(d["day_first"], second).otherwise(first)
+        return _date_of(year, month, day).isNotNull()
+
+    def moved(d: Column) -> Column:
+        start = ((d["year"] - 1900) * d["n1"] + d["first"] - d["low1"]) * d["n2"] + d["second"] - d["low2"]
+        none = F.struct(start.alias("n"), F.lit(False).alias("done"))
+
+        def step(state: Column, _: Column) -> Column:
+            on = F.array(permuted_number(state["n"], 200 * d["n1"], d["n2"], key, "form"))
+            return F.when(state["done"], state).otherwise(
+                F.transform(on, lambda n: F.struct(n.alias("n"), is_date(d, n).alias("done")))[0])
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), none, step, lambda s: F.struct(
+            *[p.alias(name) for p, name in zip(split(d, s["n"]), ("first", "second", "year"))]))
+
+    return F.transform(F.array(date), moved)[0]
+
+
 def _day_date(m: Column, key: str) -> Column:
-    parts = F.split(m, "[-/.]")
+    """Day first where that is a date, else month first; every form and each length moves within itself."""
+    first, second, year = [F.split(m, "[-/.]")[i] for i in range(3)]
     mark = F.regexp_extract(m, "[-/.]", 0)
-    first, second, year = parts[0], parts[1], parts[2]
-    day_first = _date_of(year, second, first)
-    as_day = _moved_date(day_first, key)
-    as_month = _moved_date(_date_of(year, first, second), key)
-    return F.when(
-        day_first.isNotNull(), F.replace(F.date_format(as_day, "dd-MM-yyyy"), F.lit("-"), mark)
-    ).otherwise(F.replace(F.date_format(as_month, "MM-dd-yyyy"), F.lit("-"), mark))
+    day_first, month_first = _date_of(year, second, first), _date_of(year, first, second)
+    one, two, is_day = F.length(first), F.length(second), day_first.isNotNull()
+    whole = F.replace(F.date_format(_moved_date(day_first, key), "dd-MM-yyyy"), F.lit("-"), mark)
+    short = F.when(one == 1, 9)
+    # Days up to 12 would read as day first, so the others form a set of their own.
+    form = F.struct(
+        first.cast("long").alias("first"), second.cast("long").alias("second"), year.cast("long").alias("year"),
+        is_day.alias("day_first"), F.lit(1).alias("low1"), F.when(is_day, 1).otherwise(13).alias("low2"),
+        short.when(is_day, 31).otherwise(12).cast("long").alias("n1"),
+        F.when(~is_day, 19).when(two == 1, 9).otherwise(12).cast("long").alias("n2"))
+    written = F.transform(F.array(_walked(form, key)), lambda d: F.concat(
+        F.lpad(d["first"].cast("string"), one, "0"), mark, F.lpad(d["second"].cast("string"), two, "0"), mark,
+        d["year"].cast("string")))[0]
+    return F.when(is_day & (one == 2) & (two == 2), whole).when(
+        (is_day | month_first.isNotNull()) & year.cast("int").between(1900, 2099), written)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -188,11 +250,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; 7 to 15 digits in all."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = m.substr(F.length(code) + 1, F.length(m))
-    digits = permuted_chars(_digits(rest), key, "phone")
-    return F.when(F.length(_digits(m)).between(7, 15), F.concat(code, _refilled(rest, digits)))
+    """7 to 15 digits in all. Of a number with ``+`` the first digit stays, a region of the world.
+
+    All other digits move together, so that one number written in two ways has one pseudonym.
+    """
+    digits, kept = _digits(m), F.when(F.startswith(m, F.lit("+")), 1).otherwise(0)
+    moved = F.concat(digits.substr(F.lit(1), kept), permuted_chars(digits.substr(kept + 1, F.length(digits)), key, "phone"))
+    return F.when(F.length(digits).between(7, 15), _refilled(m, moved))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -221,7 +285,8 @@ def _iban(m: Column, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     """Both the local part and the domain's own labels move; the last label stays."""
     cut = F.regexp_extract(m, r"^(.*)(\.[A-Za-z]+)$", 1)
-    return F.concat(permuted_chars(cut, key, "email"), F.regexp_extract(m, r"(\.[A-Za-z]+)$", 1))
+    return F.when(F.length(m) <= _EMAIL_CHARS, F.concat(
+        permuted_chars(cut, key, "email"), F.regexp_extract(m, r"(\.[A-Za-z]+)$", 1)))
 
 
 _MAKERS = {
@@ -253,26 +318,26 @@ def pseudonymize(documents: DataFrame, key: str, column: str = "text") -> DataFr
 
     E-mail and IPv4 addresses, telephone, payment card, social security and bank account
     numbers and full dates (1900 to 2099) are replaced; numbers that fail their validation stay.
-    The key is a secret of the caller. Whole texts are read, whatever their length. A NULL text stays
-    NULL with count 0, an empty one empty; equal rows get equal results; other columns pass through.
+    The key is a secret of the caller. Whole texts are read; no pattern repeats a group without bound,
+    so that a text of any length, of any marks, is searched in time in proportion. A NULL text stays
+    NULL with count 0, an empty one empty; equal rows get equal results; other columns pass through,
+    but a column ``n_pseudonyms`` is replaced.
     """
     text = F.col(f"`{column}`")
-    found = F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
-    maybe = text.rlike("[0-9]|@")
-    split_at = documents.withColumn(
-        "__found", F.when(maybe, found)
-    ).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
+    found, new = fresh(documents.columns, "found", "new")
+    matches = F.when(text.rlike("[0-9]|@"), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)))
+    split_at = documents.withColumn(found, matches).withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
     between = F.split(text, _ANY, -1)
     replaced = F.concat(
         F.array_join(F.transform(between, lambda s, i: F.concat(
-            s, F.coalesce(F.get("__new", i), F.lit(""))
+            s, F.coalesce(F.get(new, i), F.lit(""))
         )), "")
     )
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     return split_at.select(
         *[
-            F.when(F.size("__found") > 0, replaced).otherwise(text).alias(column)
+            F.when(F.size(found) > 0, replaced).otherwise(text).alias(column)
             if c == column else F.col(f"`{c}`") for c in documents.columns if c != "n_pseudonyms"
         ],
-        F.coalesce(F.when(F.size("__found") > 0, changed), F.lit(0)).alias("n_pseudonyms"),
+        F.coalesce(F.when(F.size(found) > 0, changed), F.lit(0)).alias("n_pseudonyms"),
     )

@@ -12,11 +12,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.shared import fresh
+
 BITS = 22
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 _CACHE_LIMIT = 300_000
 
 
+def _capitals(text: str) -> int:
+    """Upper-case letters of the whole text."""
+    if text.isascii():
+        letters = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+        return int(((letters >= 65) & (letters <= 90)).sum())
+    return sum(map(str.isupper, text))
+
+
 def _bucket(token: str, bits: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
@@ -50,7 +60,7 @@ class Featurizer:
                 at = known[token] = self._buckets(token)
             buckets += at
         n, chars = len(tokens), len(text)
-        upper = 10 * sum(map(str.isupper, text[:: max(1, chars // 400)])) // max(1, min(chars, 400))
+        upper = 10 * _capitals(text) // max(1, chars)
         symbols = 10 * sum(len(t) for t in tokens if not t[0].isalpha()) // max(1, chars)
         spread = 10 * len(distinct) // max(1, n)
         repeated = 10 * sum(map(str.__eq__, tokens, tokens[1:])) // max(1, n)
@@ -146,8 +156,9 @@ def fit(
     """Fit on rated documents: all of them, or the ``sample_rows`` first by key hash if there are more.
 
     The sample's ids are few and bounded, so they are broadcast; its hashed features, not its
-    texts, come to the driver. A document rated twice counts once, with its lowest grade. With no
-    rated rows all weights are 0.
+    texts, come to the driver, one row per id: of several documents with one id the one with the
+    least features in byte order counts. A document rated twice counts once, with its lowest grade.
+    With no rated rows all weights are 0.
     """
     sample = (
         ratings.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -163,7 +174,8 @@ def fit(
                 "buckets": [features(t).tobytes() for t in batch["text"]],
             })
 
-    got = rated.mapInPandas(hashed, "doc_id long, grade int, buckets binary").collect()
+    features = rated.mapInPandas(hashed, "doc_id long, grade int, buckets binary")
+    got = features.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets")).collect()
     got.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
     return fit_arrays(
         [np.frombuffer(bytes(r["buckets"]), dtype=np.int32) for r in got],
@@ -175,27 +187,26 @@ def score(documents: DataFrame, model: OrdinalModel, good: int = 2) -> DataFrame
     """Adds expected grade and tail probabilities to every document; the whole text is read.
 
     ``expected_grade`` is the sum of the tails, ``p_good`` is P(grade >= ``good``). A NULL text
-    counts as empty. No row is lost or added; equal texts get equal scores.
+    counts as empty. No row is lost or added; equal texts get equal scores. Only texts go through
+    Python, so ids and other columns stay as they are; columns named like the three scores are replaced.
     """
     # Plain arrays: a broadcast is pickled by reference to its class.
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.cuts, model.bits))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("expected_grade double, p_good double, p_clean double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held = OrdinalModel(*shared.value)
         features = Featurizer(held.bits)
-        for batch in batches:
-            latent = np.array([held.latent(features(t)) for t in batch["text"]], dtype=np.float64)
+        for texts in batches:
+            latent = np.array([held.latent(features(t)) for t in texts], dtype=np.float64)
             tails = held.tails(latent)
-            yield batch.assign(
-                expected_grade=tails.sum(axis=1), p_good=tails[:, good - 1], p_clean=tails[:, 0]
-            )
-
-    taken = {"expected_grade", "p_good", "p_clean"} & set(documents.columns)
-    inputs = documents.drop(*taken)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields)
-    return inputs.mapInPandas(
-        scored, f"{fields}, expected_grade double, p_good double, p_clean double"
-    )
+            yield pd.DataFrame({
+                "expected_grade": tails.sum(axis=1), "p_good": tails[:, good - 1], "p_clean": tails[:, 0]})
+
+    inputs = documents.drop("expected_grade", "p_good", "p_clean")
+    (found,) = fresh(inputs.columns, "scored")
+    return inputs.withColumn(found, scored("text")).select(
+        *[F.col(f"`{c}`") for c in inputs.columns], f"{found}.*")
 
 
 def accepted(scored: DataFrame, least: float = 0.5) -> DataFrame:

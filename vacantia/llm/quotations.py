@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import rank_in_group, written
+from vacantia.llm.shared import fresh, rank_in_group, written
 
 # A quoting prefix, and the line that announces a quotation in four languages.
-QUOTE = r"^\s*(?:>\s?)+"
+QUOTE = r"^\s*+(?:>\s?+)++"
+BLANKS = " \t\n\x0b\x0c\r"
 ANNOUNCED = r"(?i)^\s*(?:on|am|le|el|il)\b.*\b(?:wrote|writes|schrieb|écrit|escribió)\s*:\s*$|^\s*\S+ (?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
 
 
@@ -30,9 +31,7 @@ def own_text(lines: Column) -> Column:
         & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) + F.coalesce(
             F.when(F.trim(F.get(lines, i + 1)["body"]) == "", F.get(lines, i + 2)["level"]), F.lit(0)) > 0)
     ))
-    return F.regexp_replace(
-        F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), r"^\s+|\s+$", ""
-    )
+    return F.trim(F.array_join(F.transform(kept, lambda x: x["body"]), "\n"), F.lit(BLANKS))
 
 
 def passages(lines: Column) -> Column:
@@ -54,24 +53,26 @@ def linked(messages: DataFrame) -> DataFrame:
 
     An original is a minimum per sentence, combined before the shuffle, so a sentence or conversation
     with a third of all rows costs one row a task. Messages with a NULL id or turn quote nothing
-    and are quoted by none; NULL text is empty. Equal rows are linked alike.
+    and are quoted by none; NULL text is empty. Equal rows are linked alike. Columns with the new
+    names are replaced. Marks and lines may be as many as they like: every text is read in one go.
     """
-    levels = F.transform("__lines", lambda x: x["level"])
+    messages = messages.drop("own_text", "quoted_levels", "parent_turn", "thread_turn")
+    lines, quoted = fresh(messages.columns, "lines", "quoted")
+    levels = F.transform(lines, lambda x: x["level"])
+    # The outermost level is bound to a variable, so that it is found once and not for every line.
+    outer = F.array(F.array_min(F.filter(levels, lambda v: v > 0)))
+    of_level = F.transform(outer, lambda least: F.transform(
+        F.filter(lines, lambda x: x["level"] == least), lambda x: x["body"]))
     base = written(
-        messages.drop("own_text", "quoted_levels", "parent_turn", "thread_turn")
-        .withColumn("__lines", parsed_lines(F.col("text"))).withColumns({
-            "own_text": own_text(F.col("__lines")), "quoted_levels": F.array_max(levels),
-            "__quoted": F.transform(
-                F.filter("__lines", lambda x: x["level"] == F.array_min(F.filter(levels, lambda v: v > 0))),
-                lambda x: x["body"],
-            ),
-        }).drop("__lines"),
+        messages.withColumn(lines, parsed_lines(F.col("text"))).withColumns({
+            "own_text": own_text(F.col(lines)), "quoted_levels": F.array_max(levels), quoted: F.get(of_level, F.lit(0)),
+        }).drop(lines),
         "messages",
     )
     valid = base.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoting = written(
         valid.filter("quoted_levels > 0")
-        .select("conv_id", "turn", F.explode(F.array_distinct(passages(F.col("__quoted")))).alias("s"))
+        .select("conv_id", "turn", F.explode(F.array_distinct(passages(F.col(quoted)))).alias("s"))
         .select("conv_id", "turn", F.xxhash64("s").alias("h"), F.length("s").alias("n")).distinct(),
         "quoting",
     )
@@ -96,7 +97,7 @@ def linked(messages: DataFrame) -> DataFrame:
         roots = written(further.select(
             "conv_id", "turn", "parent_turn", F.coalesce("up", "thread_turn").alias("thread_turn")
         ), "parents")
-    return base.drop("__quoted").join(roots, ["conv_id", "turn"], "left").withColumn(
+    return base.drop(quoted).join(roots, ["conv_id", "turn"], "left").withColumn(
         "thread_turn", F.coalesce("thread_turn", "turn")
     )
 
@@ -107,9 +108,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     Adds to :func:`linked` the ``position`` in the conversation (from 0): threads in the order of
     their first message, and in a thread messages by turn, so that a reply follows what it
     quotes. ``formatted`` is the message as a chat turn with its role. Messages stay rows: a
-    conversation of any length is never gathered in one place.
+    conversation of any length is never gathered in one place. Columns of the two names are replaced.
     """
-    found = linked(messages)
+    found = linked(messages.drop("position", "formatted"))
     order = ["thread_turn", "turn"] + (["role"] if "role" in messages.columns else []) + ["own_text"]
     ranked = rank_in_group(found, ["conv_id"], order, "position")
     role = F.coalesce(F.col("role"), F.lit("user")) if "role" in messages.columns else F.lit("user")

@@ -30,14 +30,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them in any case."""
+    taken = {c.lower() for c in columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Adds the row's 0-based rank inside its group, for groups of any size.
 
     Rows are range-partitioned by group *and* order, so a group that holds a third of the table
     spans many tasks. Ranks inside a task are shifted by the group's counts in earlier tasks; only
-    these counts, one row per task and group, meet in a window. The result is written once.
+    these counts, one row per task and group, meet in a window. The result is written once. A column
+    of the new name is replaced.
     """
-    task, place = "__task", "__place"
+    df = df.drop(name)
+    task, place, start, size, shift = fresh(df.columns, "__task", "__place", "__first", "__rows", "__shift")
     sorted_rows = written(
         df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in group + order])
         .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in group + order])
@@ -48,18 +62,18 @@ def rank_in_group(df: DataFrame, group: list[str], order: list[str], name: str)
         "ranked",
     )
     counts = sorted_rows.groupBy(*group, task).agg(
-        F.min(place).alias("__first"), F.count(F.lit(1)).alias("__rows")
+        F.min(place).alias(start), F.count(F.lit(1)).alias(size)
     )
-    earlier = F.sum("__rows").over(_window(group, task))
+    earlier = F.sum(size).over(_window(group, task))
     starts = counts.select(
-        *group, task, (F.coalesce(earlier, F.lit(0)) - F.col("__first")).alias("__shift")
+        *group, task, (F.coalesce(earlier, F.lit(0)) - F.col(start)).alias(shift)
     )
     same = F.col(f"r.{task}") == F.col(f"s.{task}")
     for column in group:
-        same &= F.col(f"r.{column}").eqNullSafe(F.col(f"s.{column}"))
+        same &= F.col(f"r.`{column}`").eqNullSafe(F.col(f"s.`{column}`"))
     return sorted_rows.alias("r").join(starts.alias("s"), same).select(
-        *[F.col(f"r.{c}") for c in df.columns],
-        (F.col(f"r.{place}") + F.col("s.__shift")).cast("long").alias(name),
+        *[F.col(f"r.`{c}`") for c in df.columns],
+        (F.col(f"r.{place}") + F.col(f"s.{shift}")).cast("long").alias(name),
     )
 
 
@@ -170,3 +184,45 @@ def map_groups(df: DataFrame, keys: list[str], solve, schema: str) -> DataFrame:
         })
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(stream, schema)
+
+
+def map_served(df: DataFrame, keys: list[str], guest: str, host, serve, schema: str) -> DataFrame:
+    """Lets the guests of a group, any number, stream past its hosts, a bounded number.
+
+    Rows where ``guest`` is false are the hosts: they are held as ``state = host(columns)``, made once a
+    group. The guests follow in slices, ``serve(state, columns)`` gives rows as tuples. A group
+    without hosts serves nobody. The caller bounds the hosts of a group; guests are never held.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def stream(batches):
+        key, held, state = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), dtype=bool)
+            new[0] = True
+            for column in [*keys, guest]:
+                values = batch[column].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(new)
+            for low, high in zip(starts, np.r_[starts[1:], len(batch)]):
+                part = batch.iloc[low:high]
+                own = tuple(part[c].iloc[0] for c in keys)
+                if own != key:
+                    key, held, state = own, [], None
+                if not part[guest].iloc[0]:
+                    held.append(part)
+                    continue
+                if held:
+                    together = pd.concat(held, ignore_index=True)
+                    state, held = host({c: together[c].to_numpy() for c in together.columns}), []
+                if state is not None:
+                    rows = serve(state, {c: part[c].to_numpy() for c in part.columns})
+                    if rows:
+                        yield pd.DataFrame(dict(zip(names, map(list, zip(*rows)))))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, guest).mapInPandas(stream, schema)

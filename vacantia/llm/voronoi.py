@@ -2,159 +2,163 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import map_groups, written
-from vacantia.llm.vectors import matrix, usable
+from vacantia.llm.shared import map_served, written
+from vacantia.llm.vectors import matrix, of_each_length, usable
+
+#: Cells grow with the square root of the table, up to as many as may go through the driver.
+MOST_PIVOTS = 4096
+#: A component counts as this at most, before scaling would leave the doubles.
+_GREATEST = 1e308
+_LONG = 2**63 - 1
+
+
+def _scaled(x: Column, scale: int) -> Column:
+    """floor(scale * x) as a double, which holds it exactly: above 2^52 every double is whole."""
+    large = F.abs(x) >= 2.0**44
+    bounded = F.greatest(F.least(x * scale, F.lit(_GREATEST)), F.lit(-_GREATEST))
+    return F.when(large, bounded).otherwise(F.floor(x * scale).cast("double"))
 
 
 def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    squares = (points ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * points @ pivots.T
-    return np.sqrt(np.maximum(squares, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = (points ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None, :] - 2 * points @ pivots.T
+        far = np.sqrt(np.maximum(squares, 0))
+    return np.where(np.isfinite(far), far, np.inf)
 
 
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: floats as long as every sum is below 2^53, else whole numbers."""
-    largest = (np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0)) * queries.shape[1]
+    """Exact integer inner products: floats as long as every sum is below 2^53, else whole numbers.
+
+    Sums beyond a long count as the largest one or its negative.
+    """
+    largest = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
     if largest < 2 ** 53:
         return (queries @ rows.T).astype(np.int64)
-    return (queries.astype(object) @ rows.astype(object).T).astype(np.int64)
+    whole = np.vectorize(int, otypes=[object])
+    sums = whole(queries) @ whole(rows).T
+    return np.vectorize(lambda v: max(-_LONG, min(_LONG, v)), otypes=[np.int64])(sums)
 
 
 def top_products(
-    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 32,
-    block_rows: int = 4000, block_queries: int = 500,
+    vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int | None = None,
+    block_rows: int = 8000, block_queries: int = 256,
 ) -> DataFrame:
     """Each query's ``k`` highest inner products: ``(query_id, rank, vec_id, score)``.
 
     Components become floor(``scale`` * x). Queries are the rows whose id is divisible by
     ``every``, candidates all rows but the query itself; ties go to the smaller id. The search is exact.
 
-    A largest inner product is a smallest distance once each row gets one more component that
-    brings all rows to the greatest length (queries get 0 there). So rows and queries go to the
-    cell of their nearest pivot; each cell is summed up by its radius and its k + 1 smallest
-    distances. From these every query cell gets a distance that its k-th neighbours cannot
-    exceed, and a row is sent to the query cells that it may be near enough to, no others. There
-    rows and queries meet in blocks of bounded size, and the blocks' best are merged.
-
-    Which rows count is told in :func:`vacantia.llm.vectors.usable`; zero vectors do. An empty table
-    or one without queries gives no rows. Pivots are the ``pivots`` first rows by key hash; summaries
-    are a few numbers per pivot, so both may go through the driver.
+    Rows and queries go to the cell of their nearest pivot, and a cell is summed up by its radius. A query
+    is first answered in its own cell; its k-th score there is a bound. In a cell with pivot p and
+    radius r no row scores more than q.p + |q| r, so the query is sent on to the cells that can
+    still beat its bound, and to no others. Cells are cut into blocks of about ``block_rows`` rows; a
+    block is held once and queries stream past it, ``block_queries`` at a time. Only queries are replicated, never rows.
+
+    Which rows count is told in :func:`vacantia.llm.vectors.usable`; zero vectors do. Vectors are
+    compared with others of their length only. An empty table or one without queries gives no rows.
+    A score beyond a long counts as the largest long or its negative, before ranking. Pivots are the first
+    rows by key hash, by default an eighth of the square root of the rows and at most ``MOST_PIVOTS``;
+    they and a few numbers per cell go through the driver.
     """
+    return of_each_length(vectors, lambda same: _top(same, k, every, scale, pivots, block_rows, block_queries))
+
+
+def _top(
+    vectors: DataFrame, k: int, every: int, scale: int, pivots: int | None, block_rows: int, block_queries: int,
+) -> DataFrame:
     spark = vectors.sparkSession
     rows = written(
-        usable(vectors, zero=True).select(
-            "vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("double")).alias("v")
-        ), "scaled",
+        usable(vectors, zero=True).select("vec_id", F.transform("embedding", lambda x: _scaled(x, scale)).alias("v")),
+        "scaled",
     )
-    schema = "query_id long, rank int, vec_id long, score long"
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    head = rows.agg(F.max(length)).first()[0]
-    if head is None:
-        return spark.createDataFrame([], schema)
-    reach = float(head) * (1 + 1e-9) + 1e-9
+    pivots = pivots or min(MOST_PIVOTS, math.isqrt(rows.count()) // 8 + 1)
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
-
-    def lifted(points: np.ndarray, query: bool) -> np.ndarray:
-        extra = np.zeros(len(points)) if query else np.sqrt(
-            np.maximum(reach ** 2 - (points ** 2).sum(1), 0))
-        return np.hstack([points, extra[:, None]])
-
-    centres = lifted(matrix([r["v"] for r in chosen]), query=False)
-
-    def celled(query: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                far = _distances(lifted(matrix(batch["v"]), query), centres)
+    if not chosen:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    centres = matrix([r["v"] for r in chosen])
+
+    def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                far = _distances(matrix(batch["v"]), centres)
                 cell = far.argmin(axis=1)
                 yield batch.assign(cell=cell, far=far[np.arange(len(far)), cell])
-        return run
-
-    fields = "vec_id long, v array<double>, cell int, far double"
-    data = written(rows.mapInPandas(celled(False), fields), "cells")
-    asked = written(rows.filter(F.col("vec_id") % every == 0).mapInPandas(celled(True), fields), "asked")
-    nearest = data.select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
-    by_salt = Window.partitionBy("cell", "salt").orderBy("far")
-    by_cell = Window.partitionBy("cell").orderBy("far")
-    near = (
-        nearest.withColumn("n", F.row_number().over(by_salt)).filter(F.col("n") <= k + 1)
-        .withColumn("n", F.row_number().over(by_cell)).filter(F.col("n") <= k + 1)
-        .groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
-    )
-    data_cells = {
-        r["cell"]: r for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(near, "cell").collect()
-    }
-    query_cells = asked.groupBy("cell").agg(F.max("far").alias("radius")).collect()
-    if not query_cells:
-        return spark.createDataFrame([], schema)
-    between = _distances(centres, centres)
-    slack = 1e-6 * reach + 1e-9
-    plan, load = [], {}
-    for q in query_cells:
-        bounds = sorted(
-            q["radius"] + between[q["cell"], c] + d for c, r in data_cells.items() for d in r["near"]
-        )
-        # One of the k + 1 may be the query itself. Fewer rows than that: no bound.
-        within = bounds[k] if len(bounds) > k else float("inf")
-        for c, r in data_cells.items():
-            # A row of cell c at `far` from its pivot is at least |between - far| - radius away.
-            plan.append((c, q["cell"], float(between[q["cell"], c]), float(q["radius"] + within + slack)))
-            load[q["cell"]] = load.get(q["cell"], 0) + r["n"]
-    routes = spark.createDataFrame(plan, "cell int, group int, gap double, within double")
-    sent = (
-        data.join(F.broadcast(routes), "cell").filter(F.abs(F.col("gap") - F.col("far")) <= F.col("within"))
-    )
-    blocks = {g: max(1, -(-n // block_rows)) for g, n in load.items()}
-    sizes = spark.createDataFrame(list(blocks.items()), "group int, blocks int")
-    counts = asked.groupBy(F.col("cell").alias("group")).agg(
-        F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("query_blocks")
-    )
-    per_group = F.broadcast(counts.join(sizes, "group"))  # one row per pivot
-    sent = sent.join(per_group, "group").select(
-        "group", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_part"),
+
+    data = written(rows.mapInPandas(celled, "vec_id long, v array<double>, cell int, far double"), "cells")
+    summary = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
+    blocks = {r["cell"]: -(-r["n"] // block_rows) for r in summary}
+    radius = np.full(len(centres), -np.inf)  # a cell without rows
+    for r in summary:
+        radius[r["cell"]] = r["radius"]
+    per_cell = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, blocks int"))  # a row per pivot
+    hosts = data.join(per_cell, "cell").select(
+        "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"),
         F.lit(False).alias("is_query"), "vec_id", "v",
     )
-    put = asked.withColumnRenamed("cell", "group").join(per_group, "group").select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
-        F.pmod(F.xxhash64("vec_id"), F.col("query_blocks")).cast("int").alias("query_part"),
-        F.lit(True).alias("is_query"), "vec_id", "v",
-    )
+    asked = data.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "cell")
 
-    def solved(block: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-        is_query = block["is_query"].astype(bool)
-        if is_query.all() or not is_query.any():
-            return []
-        ids = block["vec_id"]
-        queries, query_ids = matrix(block["v"][is_query]), ids[is_query]
-        points, row_ids = matrix(block["v"][~is_query]), ids[~is_query]
-        order = np.argsort(row_ids, kind="stable")
-        points, row_ids = points[order], row_ids[order]
-        out = []
-        for at in range(0, len(queries), 256):
-            scores = _scores(queries[at:at + 256], points)
-            for line, query_id in zip(scores, query_ids[at:at + 256]):
-                best = np.arange(len(line))
+    def answered(guests: DataFrame) -> DataFrame:
+        """The k best of every (query, block) for queries sent to cells."""
+        put = guests.join(per_cell, "cell").select(
+            "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.lit(True).alias("is_query"), "vec_id", "v",
+        )
+        return map_served(hosts.unionByName(put), ["cell", "block"], "is_query", block, best,
+                          "query_id long, vec_id long, score long")
+
+    def block(held: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(held["vec_id"], kind="stable")
+        return matrix(held["v"])[order], held["vec_id"][order]
+
+    def best(state, guests: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
+        points, row_ids = state
+        queries, query_ids, out = matrix(guests["v"]), guests["vec_id"], []
+        for at in range(0, len(queries), block_queries):
+            some = slice(at, at + block_queries)
+            for line, query_id in zip(_scores(queries[some], points), query_ids[some]):
+                top = np.arange(len(line))
                 if len(line) > k + 1:
                     least = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
-                    best = np.flatnonzero(line >= least)
-                best = best[np.argsort(-line[best], kind="stable")]
-                best = best[row_ids[best] != query_id][:k]
-                out += [(int(query_id), int(row_ids[b]), int(line[b])) for b in best]
+                    top = np.flatnonzero(line >= least)
+                top = top[np.argsort(-line[top], kind="stable")]
+                top = top[row_ids[top] != query_id][:k]
+                out += [(int(query_id), int(row_ids[b]), int(line[b])) for b in top]
         return out
 
-    found = map_groups(
-        sent.unionByName(put), ["group", "part", "query_part"], solved,
-        "query_id long, vec_id long, score long",
-    )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    home = written(answered(asked), "home")
+    bounds = home.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(
+        F.col("query_id").alias("vec_id"), "score")
+
+    def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            queries = matrix(batch["v"])
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+                most = queries @ centres.T + norms * np.maximum(radius, 0)
+                # Room for rounding: a bound may only be too high.
+                most += 1e-9 * norms * (np.sqrt((centres ** 2).sum(axis=1)) + np.maximum(radius, 0)) + 1e-6
+            most = np.where(np.isfinite(most), most, np.inf)
+            least = batch["score"].to_numpy(dtype=np.float64, na_value=-np.inf)[:, None]
+            # Bounds above 2^53 are rounded as doubles; what saturates is compared as equal.
+            further = (most >= least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))) & np.isfinite(radius) | (radius == np.inf)
+            further[np.arange(len(batch)), batch["cell"].to_numpy()] = False
+            line, cell = np.nonzero(further)
+            yield pd.DataFrame({
+                "vec_id": batch["vec_id"].to_numpy()[line], "v": batch["v"].to_numpy()[line], "cell": cell})
+
+    guests = asked.join(bounds, "vec_id", "left").mapInPandas(sent, "vec_id long, v array<double>, cell int")
+    found = home.union(answered(guests))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
