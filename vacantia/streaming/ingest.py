@@ -19,6 +19,7 @@ from vacantia.operators.changes import change_log
 from vacantia.operators.filters import enabled_profiles, quality_gate
 from vacantia.operators.latest import latest_by_key
 from vacantia.operators.lookup import lookup
+from vacantia.operators.stored_table import StoredTable
 
 BATCH = "batch_id"
 
@@ -141,3 +142,20 @@ def change_counts(
         .agg(F.count(F.lit(1)).alias("changes"))
         .select(F.col("_w.start").alias("window_start"), kind, "changes")
     )
+
+
+def stored_handler(
+    path: str, schema: T.StructType, key: str, order: Sequence[str], buckets: int = 64,
+    tracked: Sequence[str] = (), required: Sequence[str] = (), time: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Gate → change log → stored upsert, one version of the table per micro-batch.
+
+    Every call opens the newest version, so a restarted stream and a repeated or failed micro-batch
+    come out the same; only the buckets of the micro-batch are read and rewritten.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good = quality_gate(batch, required) if required else batch
+        table = StoredTable.open(batch.sparkSession, path, schema, key, buckets)
+        table.upsert(good, batch_id, order, tracked, time)
+
+    return handle

@@ -5,7 +5,8 @@ from pyspark.sql import types as T
 
 from vacantia import work_dir
 from vacantia.functions.times import hours_before, instant
-from vacantia.streaming import ingest
+from vacantia.operators.stored_table import StoredTable
+from vacantia.streaming import detection, ingest
 from workload.bindings import ctes, view
 from workload.registry import query
 
@@ -56,6 +57,75 @@ SELECT job_id, scraped_at, event_id, event_type, value_band FROM snapshots
 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY scraped_at DESC, event_id DESC) = 1"""
 
 
+FILES = 4
+
+
+def fed_in_slices(spark, sf, days=6):
+    """The whole of ``events`` as a stream of ``FILES`` files per trigger: one trigger per few days, in order."""
+    base = work_dir(spark, "events")
+    events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
+    first = F.lit("2024-01-01").cast("date")
+    cut = F.floor(F.datediff(F.col("ts").cast("date"), first) / days)
+    for n in range(30 // days + 1):
+        part = events.filter(cut == n) if n else events.filter(cut <= 0)
+        part.repartition(FILES).write.mode("append").parquet(base)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES).parquet(base)
+
+
+def _as_snapshots(events):
+    return events.select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("ts").alias("scraped_at"), "event_id",
+        "event_type", F.floor(F.col("value") / 10).cast("string").alias("value_band"))
+
+
+@query("r1_stored_ingest", ctes("snapshots") + """
+SELECT job_id, scraped_at, event_id, event_type, value_band FROM snapshots
+WHERE event_type IS NOT NULL AND event_type <> 'error' AND value_band <> '3'
+QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY scraped_at DESC, event_id DESC) = 1""")
+def _(spark, sf):
+    """Gate on two fields, change log and stored upsert, batch by batch."""
+    base = work_dir(spark, "stored")
+    stream = _as_snapshots(fed_in_slices(spark, sf)).withColumns({
+        "title": F.when(F.col("event_type") != "error", F.col("event_type")),
+        "company": F.when(F.col("value_band") != "3", F.col("value_band")).otherwise("")})
+    handle = ingest.stored_handler(
+        base, SNAPSHOT, "job_id", ["scraped_at", "event_id"], 8, ["event_type", "value_band"],
+        required=("job_id", "title", "company"))
+    ingest.start(stream, f"{base}-checkpoint", handle).awaitTermination()
+    return StoredTable.open(spark, base, SNAPSHOT, "job_id").read()
+
+
+@query("r2_keyed_state", _CHANGES + "SELECT * FROM changes")
+def _(spark, sf):
+    """Edits against the last row of every key in the state store, over several triggers."""
+    base = work_dir(spark, "keyed")
+    edits = detection.detect_changes(
+        _as_snapshots(fed_in_slices(spark, sf)), fields=["event_type", "value_band"], tie_break=["event_id"])
+    with detection.stateful_session(spark, spark.sparkContext.defaultParallelism):
+        stream = (edits.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+                  .format("parquet").option("path", f"{base}/edits").start())
+    stream.awaitTermination()
+    return spark.read.schema(edits.schema).parquet(f"{base}/edits")
+
+
+def _stored_state(spark, sf):
+    base = work_dir(spark, "stored")
+    handle = ingest.stored_handler(
+        base, SNAPSHOT, "job_id", ["scraped_at", "event_id"], 8, ["event_type", "value_band"])
+    ingest.start(_as_snapshots(fed_in_slices(spark, sf)), f"{base}-checkpoint", handle).awaitTermination()
+    return StoredTable.open(spark, base, SNAPSHOT, "job_id")
+
+
+@query("r4_stored_upsert", _LATEST)
+def _(spark, sf):
+    return _stored_state(spark, sf).read()
+
+
+@query("r4_stored_changes", _CHANGES + "SELECT * FROM changes")
+def _(spark, sf):
+    return _stored_state(spark, sf).changes()
+
+
 @query("r1_continuous_ingest", _LATEST)
 def _(spark, sf):
     base = _run_ingest(spark, sf)
