@@ -14,6 +14,9 @@ from vacantia.operators.lookup import lookup
 from vacantia.operators.merge import BUCKET
 from vacantia.operators.stored_index import StoredIndex
 
+#: Rows of a page up to which its keys go through the driver; a bound on what is collected and broadcast.
+PAGE_KEYS = 10_000
+
 COMPANY_COLUMNS = (
     "company_size", "company_industry", "company_description", "company_website",
     "company_headquarters", "company_founded", "company_specialties",
@@ -106,18 +109,31 @@ def search_page(
 ) -> DataFrame:
     """One ordered page of full postings.
 
-    Filtering, joining and ranking run on keys and sort columns only; the at most ``limit`` chosen
-    keys then meet the wide columns, in one lazy plan for every limit. On a table written by
-    ``write_bucketed`` the page carries its buckets, so that only these are read.
+    Filtering, joining and ranking run on keys and sort columns only. A page of at most
+    ``PAGE_KEYS`` rows is ranked at once: its keys, buckets and application columns come to the driver,
+    and the wide columns are read for these keys alone. The keys are pushed to the scan and, on a table
+    written by ``write_bucketed``, only their buckets are listed; company facts are read for the
+    page's companies. A larger page stays a table and is joined by key.
     """
     order = ordering.order_for(sort_by)
     sort_columns = ["posted_at", "scraped_at", "number_of_applicants"]
     keys = ["job_id"] + [BUCKET] * (BUCKET in jobs.columns)
-    ranked = matching(jobs, applications, wanted, as_of, index).select(
-        *keys, *sort_columns, "application_status", "applied_at", "notes"
-    )
-    chosen = ordering.page(ranked, order, limit, offset).drop(*sort_columns)
-    full = with_company(jobs.join(chosen, keys), companies, spread=False)
+    tracked = ["application_status", "applied_at", "notes"]
+    company = "normalized_company_name"
+    ranked = matching(jobs, applications, wanted, as_of, index).select(*keys, company, *sort_columns, *tracked)
+    chosen = ordering.page(ranked, order, limit, offset)
+    if limit > PAGE_KEYS:
+        full = with_company(jobs.join(chosen.drop(company, *sort_columns), keys), companies, spread=False)
+        return full.orderBy(*order).limit(limit)
+    rows = chosen.collect()
+    wide = jobs
+    for column in keys:
+        wide = wide.filter(F.col(column).isin(sorted({r[column] for r in rows})))
+    place = chosen.select("job_id", *tracked).schema
+    page = jobs.sparkSession.createDataFrame([(r["job_id"], *[r[c] for c in tracked]) for r in rows], place)
+    names = sorted({r[company] for r in rows if r[company] is not None})
+    facts = companies.filter(F.col(company).isin(names))
+    full = with_company(wide.join(F.broadcast(page), "job_id"), facts, spread=False)
     return full.orderBy(*order).limit(limit)
 
 
