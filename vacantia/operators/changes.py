@@ -84,9 +84,10 @@ def compare_snapshots(
 def recent_changes(
     changes: DataFrame, jobs: DataFrame, as_of: Column | str, since_hours: int = 24
 ) -> DataFrame:
-    """Edits of the last hours with the title and company of postings that still exist."""
+    """Edits of the last hours with the title and company of postings that still exist, newest first."""
     recent = changes.filter(F.col("changed_at") >= hours_before(instant(as_of), since_hours))
-    return changes_with_jobs(recent, jobs)
+    ties = [F.asc(c) for c in ("job_id", "field_name") if c in changes.columns]
+    return changes_with_jobs(recent, jobs).orderBy(F.desc("changed_at"), *ties)
 
 
 def changes_with_jobs(changes: DataFrame, jobs: DataFrame) -> DataFrame:

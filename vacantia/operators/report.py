@@ -101,7 +101,12 @@ def jobs_per_profile(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def profile_health(profiles: DataFrame, jobs: DataFrame) -> DataFrame:
-    return jobs_per_profile(profiles, jobs).select(
+    return profile_facts(jobs_per_profile(profiles, jobs))
+
+
+def profile_facts(counted: DataFrame) -> DataFrame:
+    """The report's columns of profiles that carry ``total_jobs_cached``."""
+    return counted.select(
         F.col("id").alias("profile_id"),
         "name",
         "location",

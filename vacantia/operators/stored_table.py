@@ -47,7 +47,7 @@ class StoredTable:
     ) -> StoredTable:
         """The newest version, or an empty table; ``buckets`` counts for a new table only."""
         empty = StoredTable(spark, path, schema, key, buckets, files_per_bucket)
-        if not _exists(spark, f"{path}/manifest"):
+        if not path_exists(spark, f"{path}/manifest"):
             return empty
         row = spark.read.schema(_MANIFEST).json(f"{path}/manifest").orderBy(F.desc(VERSION)).first()
         body = json.loads(row["body"])
@@ -101,20 +101,41 @@ class StoredTable:
         fresh = latest_by_key(rows, self.key, orders).select(*columns)
         stored = self.read(touched)
         kept = stored.join(fresh.select(self.key), self.key, "left_anti")
+        self._write(kept.unionByName(fresh), version)
+        self._write_changes(stored, rows, orders, tracked, time or orders[0], version)
+        return self._committed({**dict(self.versions), **{b: version for b in touched}}, batch_id)
+
+    def delete(self, keys: DataFrame) -> StoredTable:
+        """The table without these keys; buckets that hold none of them are neither read nor written."""
+        gone = keys.select(F.col(self.key))
+        asked = {r[0] for r in gone.select(bucket_of(self.key, self.buckets)).distinct().collect()}
+        touched = sorted(asked & set(dict(self.versions)))
+        if not touched:
+            return self
+        version = self.version + 1
+        self._write(self.read(touched).join(gone, self.key, "left_anti"), version)
+        target = f"{self.path}/data/{VERSION}={version}"
+        layout = T.StructType([T.StructField(BUCKET, T.IntegerType())])
+        left = {r[0] for r in self.spark.read.schema(layout).parquet(target).distinct().collect()}
+        untouched = {b: v for b, v in self.versions if b not in touched}
+        return self._committed({**untouched, **{b: version for b in left}}, self.batch)
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        spread = F.pmod(F.xxhash64(F.lit("file"), F.col(self.key)), F.lit(self.files_per_bucket))
         (
-            kept.unionByName(fresh).withColumn(BUCKET, bucket_of(self.key, self.buckets))
-            .repartition(F.col(BUCKET), F.pmod(F.xxhash64(F.lit("file"), F.col(self.key)), F.lit(self.files_per_bucket)))
-            .sortWithinPartitions(BUCKET, self.key)
+            rows.withColumn(BUCKET, bucket_of(self.key, self.buckets))
+            .repartition(F.col(BUCKET), spread).sortWithinPartitions(BUCKET, self.key)
             .write.mode("overwrite").option("partitionOverwriteMode", "static")
             .partitionBy(BUCKET).parquet(f"{self.path}/data/{VERSION}={version}")
         )
-        self._write_changes(stored, rows, orders, tracked, time or orders[0], version)
-        versions = tuple(sorted({**dict(self.versions), **{b: version for b in touched}}.items()))
-        body = json.dumps({"key": self.key, "buckets": self.buckets, "versions": versions})
+
+    def _committed(self, versions: dict[int, int], batch: int | None) -> StoredTable:
+        version, listed = self.version + 1, tuple(sorted(versions.items()))
+        body = json.dumps({"key": self.key, "buckets": self.buckets, "versions": listed})
         self.spark.range(1).select(
-            F.lit(version).cast("long").alias(VERSION), F.lit(batch_id).cast("long").alias("batch"), F.lit(body).alias("body")
+            F.lit(version).cast("long").alias(VERSION), F.lit(batch).cast("long").alias("batch"), F.lit(body).alias("body")
         ).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        return StoredTable(self.spark, self.path, self.schema, self.key, self.buckets, self.files_per_bucket, version, batch_id, versions)
+        return StoredTable(self.spark, self.path, self.schema, self.key, self.buckets, self.files_per_bucket, version, batch, listed)
 
     def _write_changes(self, stored, rows, orders, tracked, time, version) -> None:
         if not tracked:
@@ -142,6 +163,6 @@ def _change_type(schema: T.StructType, key: str, clock: str) -> str:
     return f"{key} {kind}, changed_at {clock}, field_name string, old_value string, new_value string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -150,6 +150,37 @@ def _(spark, sf):
     return _report(spark, sf)
 
 
+_FIRMS = """
+  SELECT normalized_company_name AS n, min(company) AS c, count(*) AS k,
+    row_number() OVER (ORDER BY count(*) DESC, normalized_company_name) AS place
+  FROM jobs GROUP BY 1 QUALIFY place <= 10"""
+_PLACES = """
+  SELECT location AS n, count(*) AS k, row_number() OVER (ORDER BY count(*) DESC, location) AS place
+  FROM jobs GROUP BY 1 QUALIFY place <= 10"""
+
+
+@query("a13_whole_report", _REPORT_SQL + f""", firms AS ({_FIRMS}), places AS ({_PLACES}), health AS (
+  SELECT p.*, count(j.job_id) AS k FROM profiles p LEFT JOIN jobs j ON j.profile_id = p.id GROUP BY ALL
+)
+SELECT section, '' AS entry, metric, value FROM report
+WHERE section NOT IN ('jobs.top_companies', 'jobs.top_locations', 'scraping_profiles')
+UNION ALL SELECT 'jobs.top_companies', CAST(place AS VARCHAR), m, v FROM firms,
+  (VALUES (1, 'company'), (2, 'normalized_name'), (3, 'count')) x(i, m),
+  LATERAL (SELECT [c, n, CAST(k AS VARCHAR)][i] AS v)
+UNION ALL SELECT 'jobs.top_locations', CAST(place AS VARCHAR), m, v FROM places,
+  (VALUES (1, 'location'), (2, 'count')) x(i, m), LATERAL (SELECT [n, CAST(k AS VARCHAR)][i] AS v)
+UNION ALL SELECT 'scraping_profiles', CAST(id AS VARCHAR), m, v FROM health,
+  (VALUES (1, 'profile_id'), (2, 'name'), (3, 'location'), (4, 'distance'), (5, 'query'), (6, 'refresh_interval_hours'),
+    (7, 'time_filter'), (8, 'enabled'), (9, 'last_scraped_at'), (10, 'next_scrape_at'), (11, 'total_jobs_cached'),
+    (12, 'error_count_24h')) x(i, m),
+  LATERAL (SELECT [CAST(id AS VARCHAR), name, location, CAST(distance AS VARCHAR), keywords,
+    CAST(refresh_interval / 3600 AS VARCHAR), time_filter, CAST(enabled AS VARCHAR), strftime(last_scraped_at, {_TIME}),
+    strftime(last_scraped_at + to_seconds(refresh_interval), {_TIME}), CAST(k AS VARCHAR), '0'][i] AS v)
+""")
+def _(spark, sf):
+    return analytics.whole_report(*_views(spark, sf), AS_OF)
+
+
 @query("a13_store_report_nested", _REPORT_SQL + """
 SELECT section, '{' || string_agg('"' || metric || '":"' || value || '"', ',' ORDER BY metric) || '}' AS figures
 FROM report WHERE section <> 'scraping_profiles' GROUP BY section""")

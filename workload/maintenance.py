@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from vacantia import work_dir
 from vacantia.operators import folds, merge, upkeep
 from vacantia.operators.changes import change_log
+from vacantia.operators.day_table import DayTable, retain
+from vacantia.operators.stored_table import StoredTable
 from workload.bindings import AS_OF, ctes, norm_sql, table, view
 from workload.registry import query
 
@@ -218,6 +220,36 @@ def _(spark, sf):
         "o_orderkey", "l_orderkey")
 
 
+def _retained(spark, sf):
+    """Postings by day and applications by bucket, stored; then postings older than 20 days go."""
+    base = work_dir(spark, "retention")
+    jobs = view(spark, sf, "jobs").select("job_id", "company", "scraped_at", "raw_description")
+    applications = view(spark, sf, "applications").select("job_id", "status", "updated_at")
+    days = DayTable.open(spark, f"{base}/jobs", jobs.schema).add(jobs, 2)
+    child = StoredTable.open(spark, f"{base}/applications", applications.schema, "job_id", 8).upsert(
+        applications, 0, "updated_at")
+    return retain(days, [child], AS_OF, 20 * 86400)
+
+
+@query("k7_stored_retention", ctes("jobs") + f"""
+SELECT job_id, company, scraped_at, raw_description FROM jobs WHERE scraped_at >= {NOW} - to_days(20)""")
+def _(spark, sf):
+    return _retained(spark, sf).jobs.read()
+
+
+@query("k7_deleted_count", ctes("jobs") + f"""
+SELECT count(*) AS deleted FROM jobs WHERE scraped_at < {NOW} - to_days(20)""")
+def _(spark, sf):
+    return spark.range(1).select(F.lit(_retained(spark, sf).deleted).cast("long").alias("deleted"))
+
+
+@query("k8_stored_cascade", ctes("jobs", "applications") + f"""
+SELECT job_id, status, updated_at FROM applications
+WHERE job_id IN (SELECT job_id FROM jobs WHERE scraped_at >= {NOW} - to_days(20))""")
+def _(spark, sf):
+    return _retained(spark, sf).children[0].read()
+
+
 @query("k9_touch_last_run", ctes("profiles") + """
 SELECT p.id, coalesce((SELECT max(ts) FROM events e WHERE e.user_id * 3 = p.id), p.last_scraped_at) AS last_scraped_at
 FROM profiles p""")
