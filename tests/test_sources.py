@@ -190,3 +190,14 @@ def test_stored_size(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     row = tables.stored_size(spark, str(tmp_path / "t")).first()
     assert row.files >= 1 and row.size_mb >= 0
+
+
+def test_explore_keeps_card_order_and_repeats(spark):
+    cards = html.extract_cards(pages(spark, CARD.format(id=9) + CARD.format(id=7) + CARD.format(id=9) + CARD.format(id=5) + CARD.format(id=8)))
+    details = ingest.enrich(html.extract_details(spark.createDataFrame(
+        [("7", DETAIL), ("8", DETAIL), ("9", DETAIL)], "job_id string, html string")), "2026-02-01 00:00:00")
+    found = answers.explore(cards, details, "2026-02-01 00:00:00", limit=4)
+    rows = found.jobs.collect()
+    assert [r.core.job_id for r in rows] == ["9", "7", "9"]  # no details for 5
+    assert tuple(found.summary.first()) == (3, 5, 4)
+    assert all(r.metadata.job_url and r.core.job_id in r.metadata.job_url for r in rows)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from vacantia.functions.times import instant
 from vacantia.operators import ordering, sections
-from vacantia.plans.ingest import first_ids
 from vacantia.plans.search import SearchFilters, envelope, search_page
 
 
@@ -42,19 +41,23 @@ def query_jobs(
 def explore(
     cards: DataFrame, details: DataFrame, as_of: Column | datetime | str, limit: int = 10
 ) -> Answer:
-    """Freshly read pages: details of the first cards in the fixed live sections.
+    """Freshly read pages: details of the first cards, in card order, in the fixed live sections.
 
-    ``details`` are enriched detail rows; a limit below 1 counts as 1.
+    ``details`` are enriched detail rows, one per posting. A posting that stands on two of the chosen
+    cards is answered twice, a card without details not at all; ``returned`` counts the answers, ``total``
+    all cards. The link is the detail's, else the card's. A limit below 1 counts as 1.
     """
     limit = max(1, limit)
-    chosen = first_ids(cards, limit).distinct()
-    now = instant(as_of)
-    rows = details.join(F.broadcast(chosen), "job_id", "left_semi").withColumn("scraped_at", now)
-    if "url" not in rows.columns:
-        rows = rows.withColumn("url", F.lit(None).cast("string"))
-    counts = cards.agg(F.count(F.lit(1)).alias("total")).select(
-        F.least(F.col("total"), F.lit(limit).cast("bigint")).alias("returned"),
-        "total",
-        F.lit(limit).cast("bigint").alias("limit"),
-    )
+    link = F.col("job_url") if "job_url" in cards.columns else F.lit(None).cast("string")
+    chosen = cards.orderBy("page_id", "position").limit(limit).select(
+        "job_id", "page_id", "position", link.alias("_link"))
+    found = chosen.join(details.drop("page_id", "position"), "job_id")
+    url = F.coalesce("url", "_link") if "url" in details.columns else F.col("_link")
+    rows = found.withColumns({"scraped_at": instant(as_of), "url": url}).orderBy("page_id", "position")
+    answered = chosen.join(details.select("job_id"), "job_id").agg(
+        F.count(F.lit(1)).alias("returned"), F.lit(0).cast("bigint").alias("total"))
+    seen = cards.agg(F.lit(0).cast("bigint").alias("returned"), F.count(F.lit(1)).alias("total"))
+    counts = answered.unionByName(seen).agg(
+        F.max("returned").alias("returned"), F.max("total").alias("total")
+    ).withColumn("limit", F.lit(limit).cast("bigint"))
     return Answer(sections.live_view(rows), counts)
