@@ -43,7 +43,7 @@ CASE doc_id % 8 WHEN 0 THEN '$120K - $180K' WHEN 1 THEN '150000' WHEN 2 THEN '
 _VIEWS = {
     "jobs": lambda d: f"""
 SELECT CAST(doc_id AS STRING) AS job_id,
-  substring(text, 1, 60) AS title,
+  split_part(text, chr(10), 1) AS title,
   {_COMPANY} AS company,
   lower(source) AS normalized_company_name,
   lang AS location,
@@ -81,8 +81,8 @@ SELECT CAST(doc_id AS STRING) AS job_id,
   {d['as_of']} AS updated_at
 FROM labels""",
     "companies": lambda d: f"""
-SELECT 'SRC' || CAST(s_suppkey AS STRING) || ' Inc.' AS company_name,
-  'src' || CAST(s_suppkey AS STRING) AS normalized_company_name,
+SELECT 'SRC' || CAST(s_suppkey + 5 AS STRING) || ' Inc.' AS company_name,
+  'src' || CAST(s_suppkey + 5 AS STRING) AS normalized_company_name,
   CAST(s_nationkey AS STRING) AS company_size,
   s_name AS company_industry,
   CAST(NULL AS STRING) AS company_description,
@@ -92,7 +92,7 @@ SELECT 'SRC' || CAST(s_suppkey AS STRING) || ' Inc.' AS company_name,
   CASE WHEN s_suppkey % 4 = 0 THEN {d['list2'].format("'a'", 's_name')} ELSE {d['no_list']} END AS company_specialties,
   {d['as_of']} - {d['days'].format('(s_suppkey * 13) % 75')} AS scraped_at,
   {d['as_of']} - {d['days'].format('(s_suppkey * 13) % 75 - 30')} AS next_refresh_at
-FROM supplier WHERE s_suppkey % 2 = 0""",
+FROM supplier""",
     "profiles": lambda d: f"""
 SELECT c_custkey AS id,
   c_name AS name,

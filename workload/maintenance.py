@@ -73,7 +73,7 @@ def _(spark, sf):
 
 
 @query("k3_enrichment_merge", ctes("companies") + f""",
-batch AS (SELECT 'Src' || s_suppkey || ', Inc.' AS company_name, s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0),
+batch AS (SELECT 'Src' || s_suppkey || ', Inc.' AS company_name, s_suppkey, s_name FROM supplier),
 fresh AS (SELECT *, {norm_sql('company_name')} AS n FROM batch)
 SELECT coalesce(f.n, c.normalized_company_name) AS normalized_company_name,
   coalesce(f.company_name, c.company_name) AS company_name,
@@ -84,7 +84,7 @@ SELECT coalesce(f.n, c.normalized_company_name) AS normalized_company_name,
   CASE WHEN f.n IS NOT NULL THEN {NOW} + to_days(30) ELSE c.next_refresh_at END AS next_refresh_at
 FROM companies c FULL JOIN fresh f ON c.normalized_company_name = f.n""")
 def _(spark, sf):
-    suppliers = table(spark, sf, "supplier").filter("s_suppkey % 3 = 0")
+    suppliers = table(spark, sf, "supplier")
     batch = suppliers.select(
         F.concat(F.lit("Src"), F.col("s_suppkey").cast("string"), F.lit(", Inc.")).alias("company_name"),
         F.col("s_name").alias("company_industry"),

@@ -60,22 +60,24 @@ def _(spark, sf):
 
 
 def _lines(spark, sf):
-    """Documents as JSON lines; some lines are broken, a list, or blank."""
+    """All documents as JSON lines, and beside them lines that are broken, a list, or blank."""
     record = F.to_json(F.struct(
-        F.col("doc_id").cast("string").alias("job_id"), F.substring("text", 1, 40).alias("title"),
+        F.col("doc_id").cast("string").alias("job_id"), F.substring_index("text", "\n", 1).alias("title"),
         F.col("source").alias("company"), F.col("text").alias("raw_description"),
         F.when(F.col("doc_id") % 8 == 0, "$120K - $180K").when(F.col("doc_id") % 8 == 1, "€60K + stock")
         .when(F.col("doc_id") % 8 == 2, "N/A").alias("salary"),
         F.lit("2024-01-15T10:00:00Z").alias("scraped_at")))
     kind = F.col("doc_id") % 10
-    line = (F.when(kind == 7, F.concat(F.lit("broken {"), F.col("doc_id").cast("string")))
-            .when(kind == 8, "[1]").when(kind == 9, "  ").otherwise(record))
-    return table(spark, sf, "documents").select("doc_id", line.alias("line"))
+    odd = (F.when(kind == 7, F.concat(F.lit("broken {"), F.col("doc_id").cast("string")))
+           .when(kind == 8, "[1]").when(kind == 9, "  "))
+    documents = table(spark, sf, "documents")
+    return documents.select("doc_id", record.alias("line")).unionByName(
+        documents.select("doc_id", odd.alias("line")).filter("line IS NOT NULL"))
 
 
 @query("s2_jsonl_accepted", """
-SELECT doc_id, CAST(doc_id AS VARCHAR) AS job_id, substring(text, 1, 40) AS title, text AS raw_description
-FROM documents WHERE doc_id % 10 < 7""")
+SELECT doc_id, CAST(doc_id AS VARCHAR) AS job_id, split_part(text, chr(10), 1) AS title, text AS raw_description
+FROM documents""")
 def _(spark, sf):
     return jsonl.accepted(jsonl.parse_jsonl(_lines(spark, sf), "line")).select(
         "doc_id", "job_id", "title", "raw_description")
@@ -89,7 +91,7 @@ def _(spark, sf):
 
 
 _LEGACY_SQL = f"""
-SELECT CAST(doc_id AS VARCHAR) AS job_id, substring(text, 1, 40) AS title, source AS company,
+SELECT CAST(doc_id AS VARCHAR) AS job_id, split_part(text, chr(10), 1) AS title, source AS company,
   {norm_sql('source')} AS normalized_company_name,
   '2024-01-15T10:00:00Z' AS posted_date_iso, TIMESTAMP '2024-01-15 10:00:00' AS posted_at,
   CASE doc_id % 8 WHEN 0 THEN 120000.0 WHEN 1 THEN 60000.0 END::DOUBLE AS salary_min,
@@ -99,7 +101,7 @@ SELECT CAST(doc_id AS VARCHAR) AS job_id, substring(text, 1, 40) AS title, sourc
   regexp_matches(lower(text), 'remote|work from home|wfh|distributed|anywhere') AS remote_eligible,
   regexp_matches(lower(text), 'visa sponsorship|h1b|h-1b|work authorization|sponsorship available|sponsor visa|visa support|eligible for visa|can sponsor') AS visa_sponsorship,
   false AS easy_apply, text AS raw_description
-FROM documents WHERE doc_id % 10 < 7"""
+FROM documents"""
 _LEGACY_OUT = [
     "job_id", "title", "company", "normalized_company_name", "posted_date_iso", "posted_at",
     "salary_min", "salary_max", "salary_currency", "equity_offered", "remote_eligible",
