@@ -105,7 +105,6 @@ def test_packed_pieces_match_the_tokenizer(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     rows = ODD + [(9, "a <|endoftext|> b"), (10, "line\n\n  two  spaces\t")]
     got = packing.pack(packing.pieces(docs(rows), JSON, P.PATTERN, capacity=512), capacity=512).collect()
     expected = Counter()
@@ -129,7 +128,6 @@ def test_ranks_of_the_vocabulary_give_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     encode, rng = packing.id_encoder(JSON, P.PATTERN), random.Random(3)
     parts = ["a", " ", "  ", "\n", "'s", "ß", "12", "!?", " ", "日本", "🙂", "<|endoftext|>", "²", "hello", "\t"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
