@@ -88,9 +88,9 @@ def fold(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(F.lower(text), source, target))
 
 
-def spaced_tokens(text: Column) -> Column:
-    """Folded letter/digit runs, each with one blank on both sides: `` a b c ``."""
-    return F.regexp_replace(F.concat(F.lit(" "), fold(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+def separated(folded: Column) -> Column:
+    """Letter/digit runs of a folded text, each with one blank on both sides: `` a b c ``."""
+    return F.regexp_replace(F.concat(F.lit(" "), folded, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
 def tokens(text: Column) -> Column:

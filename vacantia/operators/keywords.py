@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia import constants as C
-from vacantia.functions.text import fold_argument, spaced_tokens
+from vacantia.functions.text import fold, fold_argument, separated
 
 NEAR_DEFAULT = 10
+#: The widest gap that is matched by a pattern; a wider one is matched on token positions.
+PATTERN_GAP = 64
 Evidence = Callable[["Leaf"], Column]
 
 
@@ -78,15 +80,17 @@ class Condition:
         """Predicate that reads the text fields themselves.
 
         The folded texts are bound to a lambda variable, so each is computed once per row
-        however many words are asked for.
+        however many words are asked for. Words, phrases and pairs of near words are then one pattern
+        each, which stops at its first match; only other clumps cut a text into tokens, and only where
+        all their words occur.
         """
         self.check_fields(texts)
         names = list(texts)
-        folded = F.array(*[F.coalesce(spaced_tokens(t), F.lit(" ")) for t in texts.values()])
+        folded = F.array(*[F.coalesce(fold(t), F.lit("")) for t in texts.values()])
 
         def verdict(bound: Column) -> Column:
             fields = {name: bound[i] for i, name in enumerate(names)}
-            return self.holds(lambda atom: atom.found_in(fields))
+            return self.holds(lambda leaf: leaf.found_in(fields))
 
         return F.exists(F.array(folded), verdict)
 
@@ -189,10 +193,23 @@ class Leaf(Condition):
             result = result & (~inside if c.excluded else inside)
         return result
 
-    def found_in(self, spaced: Mapping[str, Column]) -> Column:
-        hits = [self.found(text) for name, text in spaced.items() if self.covers(name)]
+    def found_in(self, folded: Mapping[str, Column]) -> Column:
+        hits = [self._found_in(text) for name, text in folded.items() if self.covers(name)]
         return reduce(lambda a, b: a | b, hits, F.lit(False))
 
+    def _found_in(self, folded: Column) -> Column:
+        """Every token is part of the folded text, so a cheap look for the words comes first."""
+        parts = [F.contains(folded, F.lit(w)) for w in dict.fromkeys([*self.exact(), *self.beginnings()])]
+        possible = reduce(lambda a, b: a & b, parts)
+        pattern = self.pattern()
+        if pattern is not None:
+            return possible & folded.rlike(pattern)
+        return possible & F.exists(F.array(separated(folded)), self.found)
+
+    def pattern(self) -> str | None:
+        """One pattern on folded text that says the same, where there is one."""
+        return None
+
     def exact(self) -> list[str]:
         raise NotImplementedError
 
@@ -229,14 +246,27 @@ class Atom(Leaf):
     def beginnings(self):
         return [self.words[-1]] if self.prefix else []
 
+    def pattern(self) -> str | None:
+        """Tokens are runs of letters and digits. A word comes first in its pattern, so that it is
+        searched for as such, and looks back over itself to what stands before it."""
+        gap = r"[^\p{L}\p{N}]++"
+        end = "" if self.prefix else r"(?![\p{L}\p{N}])"
+        if self.gap is None:
+            first, rest = self.words[0], "".join(gap + w for w in self.words[1:])
+            if self.first:
+                return rf"^[^\p{{L}}\p{{N}}]*+{first}{rest}{end}"
+            return rf"{first}(?<![\p{{L}}\p{{N}}]{first}){rest}{end}"
+        if len(self.words) == 2 and self.gap <= PATTERN_GAP:
+            between = rf"{gap}(?:[\p{{L}}\p{{N}}]++{gap}){{0,{self.gap}}}"
+            return "|".join(
+                rf"{a}(?<![\p{{L}}\p{{N}}]{a}){between}{b}(?![\p{{L}}\p{{N}}])"
+                for a, b in (self.words, self.words[::-1]))
+        return None
+
     def found(self, text: Column) -> Column:
         if self.gap is None:
             needle = F.lit(" " + " ".join(self.words) + ("" if self.prefix else " "))
             return F.startswith(text, needle) if self.first else F.contains(text, needle)
-        if len(self.words) == 2:
-            one, two = self.words
-            between = rf"(?:\S++ ){{0,{self.gap}}}"
-            return text.rlike(f" {one} {between}{two} | {two} {between}{one} ")
         asked = F.array(*[F.lit(w) for w in self.words])
         marks = F.transform(
             F.split(F.trim(text), " "),
