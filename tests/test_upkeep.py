@@ -241,3 +241,20 @@ def test_id_changes_and_runs(spark, rows_of):
     assert rows_of(filters.due_profiles(profiles, at(0)).select("id")) == [(1,), (3,)]
     runs = spark.createDataFrame([(1, at(0)), (1, at(5))], "profile_id long, run_at timestamp_ntz")
     assert rows_of(upkeep.touch_last_run(profiles, runs).select("id", "last_scraped_at"))[0] == (1, at(5))
+
+
+def test_a_burst_spans_many_slices(spark, rows_of):
+    """A third of all rows is one key at one time; slices by rows cut it, and the log stays the same."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else f"j{i % 50}", dt.datetime(2026, 1, 1), i, rng.choice(["1", "2", None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "job_id string, scraped_at timestamp_ntz, seq long, salary string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        by_rows = changes.change_log(df, fields=["salary"], tie_break=["seq"], slice_width=None)
+        got = rows_of(by_rows)
+        ranged = df.repartitionByRange("job_id", "scraped_at", "seq").filter("job_id = 'hot'")
+        assert ranged.select(F.spark_partition_id()).distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == rows_of(changes.change_log(df, fields=["salary"], tie_break=["seq"]))

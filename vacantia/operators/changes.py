@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vacantia import constants as C
 from vacantia.functions.times import hours_before, instant
+from vacantia.session import work_dir
 
 _PREV, _ROW, _LAST, _SLICE = "_prev_", "_row", "_last", "_slice"
 
@@ -36,18 +37,28 @@ def change_log(
     time: str = "scraped_at",
     fields: Sequence[str] = C.TRACKED_FIELDS,
     tie_break: Sequence[str] = (),
-    slice_width: str = "hour",
+    slice_width: str | None = "hour",
 ) -> DataFrame:
     """Every edit of a tracked field between consecutive snapshots of a key.
 
     Consecutive rows are compared in two steps so that a key with a huge history is not one
     task: first inside (key, time slice), then across slices, where only the first and last
     row of each slice take part. Both steps read the same shuffle of the snapshots.
+
+    Slices are spans of time. Where one key may have a burst of rows in one span, or all at one time,
+    ``slice_width=None`` cuts by number of rows instead: rows are range-partitioned by key and order, and a
+    slice is what one partition holds of a key. The narrow rows are written once for that, so that both
+    steps see the same slices also after a lost executor.
     """
     order = [time, *tie_break]
-    narrow = snapshots.select(key, *dict.fromkeys([*order, *fields])).withColumn(
-        _SLICE, F.date_trunc(slice_width, F.col(time).cast("timestamp"))
-    )
+    narrow = snapshots.select(key, *dict.fromkeys([*order, *fields]))
+    if slice_width is None:
+        ranged = narrow.repartitionByRange(key, *order).withColumn(_SLICE, F.spark_partition_id())
+        path = work_dir(snapshots.sparkSession, "slices")
+        ranged.write.parquet(path)
+        narrow = snapshots.sparkSession.read.schema(ranged.schema).parquet(path)
+    else:
+        narrow = narrow.withColumn(_SLICE, F.date_trunc(slice_width, F.col(time).cast("timestamp")))
     in_slice = Window.partitionBy(key, _SLICE).orderBy(*order)
     sliced = narrow.select(
         "*",

@@ -76,7 +76,7 @@ def _(spark, sf):
     return latest_by_key(table(spark, sf, "events"), "user_id", ["ts", "event_id"])
 
 
-@query("w2_field_change_log", ctes("snapshots") + """,
+_CHANGE_LOG = ctes("snapshots") + """,
 steps AS (
   SELECT job_id, scraped_at, event_type, value_band, props,
     lag(event_type) OVER w AS e, lag(value_band) OVER w AS v, lag(props) OVER w AS p,
@@ -88,7 +88,17 @@ FROM steps WHERE n > 1 AND e IS DISTINCT FROM event_type
 UNION ALL SELECT job_id, scraped_at, 'value_band', v, value_band FROM steps
 WHERE n > 1 AND v IS DISTINCT FROM value_band
 UNION ALL SELECT job_id, scraped_at, 'props', p, props FROM steps
-WHERE n > 1 AND p IS DISTINCT FROM props""")
+WHERE n > 1 AND p IS DISTINCT FROM props"""
+
+
+@query("w2_field_change_log", _CHANGE_LOG)
 def _(spark, sf):
     return change_log(view(spark, sf, "snapshots"), fields=["event_type", "value_band", "props"],
                       tie_break=["event_id"])
+
+
+@query("w2_change_log_by_rows", _CHANGE_LOG)
+def _(spark, sf):
+    """The same log with slices by number of rows, which no burst of one key can fill."""
+    return change_log(view(spark, sf, "snapshots"), fields=["event_type", "value_band", "props"],
+                      tie_break=["event_id"], slice_width=None)
