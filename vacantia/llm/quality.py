@@ -176,9 +176,9 @@ def fit(
 
     features = rated.mapInPandas(hashed, "doc_id long, grade int, buckets binary")
     got = features.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets")).collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["buckets"])))
+    got.sort(key=lambda r: r["doc_id"])
     return fit_arrays(
-        [np.frombuffer(bytes(r["buckets"]), dtype=np.int32) for r in got],
+        [np.frombuffer(r["buckets"], dtype=np.int32) for r in got],
         np.array([r["grade"] for r in got], dtype=np.int64), n_grades, bits,
     )
 
