@@ -72,6 +72,77 @@ def test_lookup_spread(spark, rows_of, how):
     assert rows_of(spread) == rows_of(facts.join(entries, "k", how))
 
 
+def skewed(spark, rows=200_000):
+    """A third of the rows in one key, a tenth without a key, the rest 40 to a key."""
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 10 != 1, F.concat(F.lit("k"), F.col("id") % 5000))
+    return spark.range(rows).select(key.alias("k"), F.col("id").alias("s"))
+
+
+@pytest.mark.parametrize("share", [1 / 4, 1 / 64, 1 / 1024])
+def test_hot_keys_are_those_above_the_share(spark, share):
+    facts = skewed(spark)
+    counted = facts.groupBy(F.xxhash64("k").alias("h")).count().collect()
+    rows = sum(r["count"] for r in counted)
+    want = {r.h: -int(-r["count"] // (rows * share)) for r in counted if r["count"] > rows * share}
+    got = {r[0]: r[1] for r in lookup.hot_keys(facts, ["k"], share).collect()}
+    assert want.keys() <= got.keys()
+    assert sum(got.values()) < 2 / share
+    for key, copies in got.items():
+        # The sketch may be off by a part of the share, never by a whole one.
+        assert abs(copies - want.get(key, 1)) <= 1
+    assert len(want) == {1 / 4: 1, 1 / 64: 2, 1 / 1024: 2}[share]
+
+
+def test_a_sketch_of_many_equal_keys_names_none(spark):
+    facts = spark.range(300_000).select((F.col("id") % 60_000).alias("k"))
+    assert lookup.hot_keys(facts, ["k"], 1 / 64).count() == 0
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_lookup_splits_the_keys_found_hot(spark, rows_of, how):
+    facts = skewed(spark, 3000)
+    entries = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3), (None, 4)], "k string, e int")
+    spread = lookup.lookup(facts, entries, "k", how, spread_by="s", hot_share=1 / 32)
+    assert spread.columns == facts.join(entries, "k", how).columns
+    assert rows_of(spread) == rows_of(facts.join(entries, "k", how))
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_by_two_keys_and_empty_sides(spark, rows_of, how):
+    facts = skewed(spark, 900).withColumn("j", F.col("s") % 2)
+    entries = spark.createDataFrame([("hot", 0, 1), ("hot", 1, 2), ("k2", 0, 3)], "k string, j long, e int")
+    for f, e in ((facts, entries), (facts.limit(0), entries), (facts, entries.limit(0))):
+        assert rows_of(lookup.lookup(f, e, ["k", "j"], how, spread_by="s")) == rows_of(f.join(e, ["k", "j"], how))
+
+
+def test_a_spread_join_never_repeats_entries(spark):
+    facts = skewed(spark, 10)
+    for how in ("right", "full"):
+        with pytest.raises(ValueError):
+            lookup.lookup(facts, facts.select("k").distinct(), "k", how, spread_by="s")
+
+
+def test_lookup_leaves_no_hot_task(spark):
+    """One key of a third of all rows spans many tasks; cold keys are not repeated."""
+    facts = skewed(spark)
+    entries = facts.select("k").distinct().withColumn("e", F.lit(1))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+                "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sizes = [
+            max(r.rows for r in joined.groupBy(F.spark_partition_id()).agg(
+                F.count("s").alias("rows"), F.max("e")).collect())
+            for joined in (facts.join(entries, "k", "left"), lookup.lookup(facts, entries, "k", spread_by="s"))
+        ]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sizes[0] > 66_000 and sizes[1] < 200_000 / 16 * 1.5
+
+
 def test_upsert_replace(spark, rows_of):
     table = spark.createDataFrame([("1", "a", 1), ("2", "b", 2)], "k string, v string, n int")
     batch = spark.createDataFrame(
