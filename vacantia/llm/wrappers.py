@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.shared import written
+from vacantia.operators.lookup import lookup
 
 # Elements that start a block, that are never content, and that hold raw text.
 BLOCKS = frozenset(
@@ -29,6 +31,10 @@ CLOSES = {
 }
 _SCOPE = frozenset("ul ol menu dl table div article section body".split())
 _VOID = frozenset(["hr"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Odd multipliers: each puts 64-bit hashes in another order.
+_ORDERS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_CONTAINERS = frozenset("html body div section center table tbody tr td".split())
 # Words in class, id or role that mark what is not the article.
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|adbox|sponsor|sponsored|promo|promos|"
@@ -46,6 +52,8 @@ _PARTS = re.compile(
     r"|<[!?][^>]*>|</?[a-z][^>]*>",
     re.I | re.S,
 )
+# Numbers in ids, and long ones in classes, count the page or the item, not the kind of element.
+_DIGITS, _SERIAL = re.compile(r"\d+"), re.compile(r"\d{3,}")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -53,7 +61,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]
     """The page's skeleton and its text blocks.
 
     The skeleton is a tree of block elements in page order: ``(parent, tag, marks)``, marks being class,
-    id and role in lower case without digits. Siblings of one kind are one node, as the items
+    id and role in lower case without serial numbers. Siblings of one kind are one node, as the items
     of a list or the paragraphs of an article differ only in content. A block is ``(node, text)`` with
     character references decoded and white space made single; inline markup belongs to its
     block. Unclosed, stray and misnested tags are taken as browsers do, more or less; nothing raises.
@@ -61,9 +69,14 @@ def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]
     nodes: list[tuple[int, str, str]] = [(-1, "html", "")]
     children: list[dict[tuple[str, str], int]] = [{}]
     stack: list[tuple[str, int]] = [("html", 0)]
+    opened: Counter[str] = Counter()
     blocks: list[tuple[int, str]] = []
     texts: list[str] = []
 
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop()[0]] -= 1
+
     def flush() -> None:
         if texts:
             text = "".join(texts)
@@ -90,19 +103,18 @@ def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]
             continue
         flush()
         if part.group(2):
-            if tag == "p" or any(t == tag for t, _ in stack[1:]):
-                if any(t == tag for t, _ in stack[1:]):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+            if opened[tag]:
+                while stack[-1][0] != tag:
+                    close_to(len(stack) - 1)
+                close_to(len(stack) - 1)
             continue
         closes = CLOSES.get(tag)
         if len(stack) > 1 and stack[-1][0] == "p":
-            stack.pop()
-        if closes:
+            close_to(len(stack) - 1)
+        if closes and any(opened[t] for t in closes):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in closes:
-                    del stack[depth:]
+                    close_to(depth)
                     break
                 if stack[depth][0] in _SCOPE:
                     break
@@ -112,7 +124,8 @@ def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]
         marks = ""
         if attributes and "=" in attributes:
             marks = " ".join(
-                re.sub(r"\d+", "", a or b or c).lower() for _, a, b, c in _MARKS.findall(attributes)
+                (_SERIAL if name.lower() == "class" else _DIGITS).sub("", a or b or c).lower()
+                for name, a, b, c in _MARKS.findall(attributes)
             ).strip()
         parent = stack[-1][1]
         node = children[parent].get((tag, marks))
@@ -122,45 +135,93 @@ def parse(page: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str]]]
             children.append({})
         if tag not in _VOID:
             stack.append((tag, node))
+            opened[tag] += 1
     if at < len(page):
         texts.append(page[at:])
     flush()
     return nodes, blocks
 
 
+def _below(nodes: list) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in nodes]
+    for i, (parent, _, _) in enumerate(nodes):
+        if parent >= 0:
+            out[parent].append(i)
+    return out
+
+
 def tree_match(left: list, right: list) -> dict[int, int]:
     """Simple tree matching of two skeletons: node of ``left`` → node of ``right``.
 
-    The largest set of pairs that keeps parents and the order of siblings; equal tags may pair, and
-    equal marks count double.
+    The heaviest set of pairs that keeps parents and the order of siblings; equal tags may pair, and
+    equal marks count double. Equal subtrees at the ends of two lists of siblings belong to a heaviest
+    set, so they are paired without a table: the work is that of the places where the trees differ,
+    quadratic only in the unlike children of two paired nodes, and depth alone costs nothing.
     """
-    def kids(nodes: list) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in nodes]
-        for i, (parent, _, _) in enumerate(nodes):
-            if parent >= 0:
-                out[parent].append(i)
-        return out
-
-    below_left, below_right = kids(left), kids(right)
-    tables: dict[tuple[int, int], tuple[int, list]] = {}
+    below = _below(left), _below(right)
+    numbers: dict[tuple, int] = {}
+    shapes: tuple[list[int], list[int]] = ([0] * len(left), [0] * len(right))
+    sizes = [1] * len(left)
     # Children come after their parents, so a pass from the end meets them first.
-    for a in range(len(left) - 1, -1, -1):
-        for b in range(len(right) - 1, -1, -1):
-            if left[a][1] != right[b][1]:
-                continue
-            xs, ys = below_left[a], below_right[b]
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, x in enumerate(xs, 1):
-                for j, y in enumerate(ys, 1):
-                    pair = tables.get((x, y))
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + (pair[0] if pair else 0))
-            tables[a, b] = (best[-1][-1] + 1 + (left[a][2] == right[b][2]), best)
+    for nodes, kids, shape in zip((left, right), below, shapes):
+        for i in range(len(nodes) - 1, -1, -1):
+            key = (nodes[i][1], nodes[i][2], tuple(shape[k] for k in kids[i]))
+            shape[i] = numbers.setdefault(key, len(numbers))
+    for i in range(len(left) - 1, 0, -1):
+        sizes[left[i][0]] += sizes[i]
+
+    def unlike(a: int, b: int) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+        """The equal pairs at both ends of the children, and the children between them."""
+        xs, ys = below[0][a], below[1][b]
+        low, high = 0, min(len(xs), len(ys))
+        while low < high and shapes[0][xs[low]] == shapes[1][ys[low]]:
+            low += 1
+        tail = 0
+        while tail < high - low and shapes[0][xs[-1 - tail]] == shapes[1][ys[-1 - tail]]:
+            tail += 1
+        ends = list(zip(xs[:low], ys[:low])) + [(xs[-1 - i], ys[-1 - i]) for i in range(tail)]
+        return ends, xs[low:len(xs) - tail], ys[low:len(ys) - tail]
+
+    def weight(a: int, b: int) -> int:
+        if shapes[0][a] == shapes[1][b]:
+            return 2 * sizes[a]
+        return weights.get((a, b), 0)
+
+    def table(xs: list[int], ys: list[int]) -> list[list[int]]:
+        best = [[0] * (len(ys) + 1)]
+        for x in xs:
+            row, above = [0], best[-1]
+            for j, y in enumerate(ys):
+                row.append(max(above[j + 1], row[j], above[j] + weight(x, y)))
+            best.append(row)
+        return best
+
+    # Only nodes with paired parents can pair: they are met from the roots down, weighed from the leaves up.
+    met = [(0, 0)]
+    weights: dict[tuple[int, int], int] = {(0, 0): 0}
+    for a, b in met:
+        if shapes[0][a] == shapes[1][b]:
+            continue
+        _, xs, ys = unlike(a, b)
+        for x in xs:
+            for y in ys:
+                if left[x][1] == right[y][1]:
+                    weights[x, y] = 0
+                    met.append((x, y))
+    for a, b in reversed(met):
+        ends, xs, ys = unlike(a, b)
+        inner = table(xs, ys)[-1][-1] if xs and ys else 0
+        weights[a, b] = 1 + (left[a][2] == right[b][2]) + 2 * sum(sizes[x] for x, _ in ends) + inner
     matched: dict[int, int] = {}
     todo = [(0, 0)]
     while todo:
         a, b = todo.pop()
         matched[a] = b
-        xs, ys, best = below_left[a], below_right[b], tables[a, b][1]
+        ends, xs, ys = unlike(a, b)
+        todo.extend(ends)
+        if not (xs and ys):
+            continue
+        best = table(xs, ys)
         i, j = len(xs), len(ys)
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -174,20 +235,28 @@ def tree_match(left: list, right: list) -> dict[int, int]:
 
 
 def slots(skeleton: list, wrapper: list) -> list[str]:
-    """A name for every node: its place in the host's wrapper, or its own path where it has none."""
+    """A name for every node: its place in the host's wrapper, or a digest of its own path where it has none."""
+    import xxhash
+
     matched = tree_match(skeleton, wrapper)
     names: list[str] = []
     for i, (parent, tag, marks) in enumerate(skeleton):
-        names.append(str(matched[i]) if i in matched else f"{names[parent]}/{tag}.{marks}")
+        path = f"{names[parent] if parent >= 0 else ''}/{tag}.{marks}"
+        names.append(str(matched[i]) if i in matched else "/" + xxhash.xxh128_hexdigest(path.encode("utf-8", "surrogatepass")))
     return names
 
 
-def content_nodes(skeleton: list, template: set[int]) -> list[int]:
+def content_nodes(skeleton: list, template: set[int], mass: list[int] | None = None) -> list[int]:
     """The nodes whose text is the article.
 
-    Never content: navigation, headers, footers, sidebars, forms and what its marks call an
-    advert, notice, comment and so on, with all below. Where an article or main element with text remains,
-    its nodes are the content; else all varying nodes are, i.e. those not in the template.
+    What the template holds is never content, inside an article element or outside. Of the
+    varying nodes, navigation, headers, footers, sidebars, forms and what its marks call an advert, notice or
+    comment go, with all below: these vary from page to page, so no template can show them. Where
+    an article or main element has varying nodes, they are the content. Else the content is the region
+    with the most varying text (``mass``, a number of characters per node, summed over the host's pages):
+    from the root down, the child that holds more than half of its parent's, as long as it is a plain
+    container and no heading stands beside it. Where nothing varies, the template is all there is,
+    and the unbanned nodes (those of the article, if there is one) stay.
     """
     banned, inside = [], []
     for parent, tag, marks in skeleton:
@@ -200,26 +269,68 @@ def content_nodes(skeleton: list, template: set[int]) -> list[int]:
             noise = False
         inside.append(within)
         banned.append((above and banned[parent]) or noise)
-    core = [i for i, (b, w) in enumerate(zip(banned, inside)) if w and not b]
-    if core:
-        return core
     free = [i for i, b in enumerate(banned) if not b]
-    return [i for i in free if i not in template] or free
+    core = [i for i in free if inside[i]]
+    varying = [i for i in core or free if i not in template]
+    weights = [0] * len(skeleton)
+    for i in varying:
+        weights[i] = 1 if mass is None else mass[i]
+    if not any(weights):
+        return core or free
+    if core:
+        return varying
+    for i in range(len(skeleton) - 1, 0, -1):
+        weights[skeleton[i][0]] += weights[i]
+    below = _below(skeleton)
+    at = 0
+    while below[at] and not any(skeleton[k][1] in _HEADINGS and weights[k] for k in below[at]):
+        heaviest = max(below[at], key=lambda k: (weights[k], -k))
+        if skeleton[heaviest][1] not in _CONTAINERS or 2 * weights[heaviest] <= weights[at]:
+            break
+        at = heaviest
+    within = {at}
+    for i, (parent, _, _) in enumerate(skeleton):
+        if parent in within:
+            within.add(i)
+    return [i for i in varying if i in within]
+
+
+def likeness(texts: list[str], words: int = 5) -> list[int]:
+    """Three least hashes, under independent orders, of the runs of five words (of all words, if fewer).
+
+    Copies of a page share all three; near copies share each one with the probability of their similarity.
+    """
+    import numpy as np
+    import xxhash
+
+    found = " ".join(texts).split()
+    runs = np.array([
+        xxhash.xxh64_intdigest(" ".join(found[i:i + words]).encode("utf-8", "surrogatepass"))
+        for i in range(max(1, len(found) - words + 1))
+    ], dtype=np.uint64)
+    orders = np.array(_ORDERS, dtype=np.uint64)
+    return [int((runs * order).min()) - (1 << 63) for order in orders]
 
 
 def extract(pages: DataFrame, least_pages: int = 3, common: float = 0.5, few: float = 0.2) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page; the whole html is read.
 
-    1. Pages are parsed into skeletons and blocks. A host's most frequent skeleton is its wrapper.
+    1. Pages are parsed into skeletons and blocks. Of a host's pages that are alike one counts, so
+       that copies of an article are no evidence that it is template: one page stays for each first
+       hash of :func:`likeness`, of these one for each second and third. The most frequent skeleton of
+       those left is the host's wrapper.
     2. Each of a host's distinct skeletons is aligned with the wrapper by simple tree matching, which
        gives the nodes of all its pages common names (slots).
-    3. A slot is template if, on ``least_pages`` pages or more, one text fills it on ``common`` of them, or
-       all its texts are at most ``few`` of its pages (five pages or more); else it varies.
+    3. A slot is template if one text fills it on ``least_pages`` unlike pages or more and on ``common`` of those
+       that have it, or if all its texts are at most ``few`` of them; else it varies, and the text that
+       it holds on all of them is its mass. With fewer unlike pages than that nothing is known
+       to be constant, and structure and mass decide.
     4. Content nodes are decided per skeleton (:func:`content_nodes`) and applied to its pages.
 
-    Counts are combined before they are shuffled, so a host with a third of all pages is no hot
-    key; skeletons, not pages, are aligned. NULL or empty html gives an empty text; a NULL url is a host of
-    its own. Repeated rows and ids are kept.
+    Counts are combined before they are shuffled; skeletons, not pages, are aligned; the joins
+    by host and by skeleton split the keys that are found to be hot. NULL or empty html gives an
+    empty text; pages without a host in their url are taken as one host. Repeated rows and ids are
+    kept; columns other than ``page_id``, ``url`` and ``html`` are left out.
     """
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -234,30 +345,41 @@ def extract(pages: DataFrame, least_pages: int = 3, common: float = 0.5, few: fl
                     for node, text in blocks:
                         by_node.setdefault(node, []).append(text)
                     out.append((
-                        page_id, url, host, json.dumps(skeleton), [n for n, _ in blocks], [t for _, t in blocks],
+                        page_id, url, host, json.dumps(skeleton), likeness([t for _, t in blocks]),
+                        [n for n, _ in blocks], [t for _, t in blocks],
                         list(by_node), [
                             xxhash.xxh64_intdigest("\n".join(t).encode("utf-8", "surrogatepass")) - (1 << 63)
                             for t in by_node.values()
-                        ],
+                        ], [sum(map(len, t)) for t in by_node.values()],
                     ))
                 yield pd.DataFrame(out, columns=[
-                    "page_id", "url", "host", "skeleton", "nodes", "texts", "filled", "hashes"])
+                    "page_id", "url", "host", "skeleton", "like", "nodes", "texts", "filled", "hashes", "sizes"])
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     read = written(
         # NULL ids would become floats in pandas, so ids travel as text.
         pages.select(F.col("page_id").cast("string"), "url", host.alias("host"), "html").mapInPandas(
             parsed,
-            "page_id string, url string, host string, skeleton string, nodes array<int>, texts array<string>, "
-            "filled array<int>, hashes array<long>",
+            "page_id string, url string, host string, skeleton string, like array<long>, nodes array<int>, texts array<string>, "
+            "filled array<int>, hashes array<long>, sizes array<long>",
         ).withColumn("kind", F.xxhash64("skeleton")),
         "parsed",
     )
-    kinds = read.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("pages"), F.min("skeleton").alias("skeleton"))
-    kinds = written(kinds, "skeletons")
-    wrappers = kinds.groupBy("host").agg(
-        F.max(F.struct("pages", "kind", "skeleton")).alias("w")
-    ).select("host", F.col("w.skeleton").alias("wrapper"))
+    kinds = written(
+        read.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("pages"), F.min("skeleton").alias("skeleton")),
+        "skeletons",
+    )
+    unlike = read.select("host", "like", "kind", "filled", "hashes", "sizes")
+    for order in range(len(_ORDERS)):
+        page = F.min(F.struct("like", "kind", "filled", "hashes", "sizes")).alias("page")
+        unlike = unlike.groupBy("host", F.col("like")[order].alias("one")).agg(page).select("host", "page.*")
+    unlike = written(unlike, "unlike")
+    wrappers = (
+        unlike.groupBy("host", "kind").agg(F.count(F.lit(1)).alias("pages"))
+        .groupBy("host").agg(F.max(F.struct("pages", "kind")).alias("w"))
+        .select("host", F.col("w.kind").alias("kind"))
+        .join(kinds.select("host", "kind", F.col("skeleton").alias("wrapper")), ["host", "kind"]).drop("kind")
+    )
 
     def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -267,49 +389,56 @@ def extract(pages: DataFrame, least_pages: int = 3, common: float = 0.5, few: fl
             })
 
     named = written(
-        kinds.join(wrappers, "host").select("host", "kind", "skeleton", "wrapper")
+        lookup(kinds, wrappers, "host", "inner", spread_by="kind").select("host", "kind", "skeleton", "wrapper")
         .mapInPandas(aligned, "host string, kind long, slots array<string>"),
         "slots",
     )
     # Texts are counted per skeleton first: few rows are left to be named and counted per slot.
     texts = (
-        read.select("host", "kind", F.explode(F.arrays_zip("filled", "hashes")).alias("x"))
+        unlike.select("host", "kind", F.explode(F.arrays_zip("filled", "hashes", "sizes")).alias("x"))
         .groupBy("host", "kind", F.col("x.filled").alias("node"), F.col("x.hashes").alias("hash"))
-        .agg(F.count(F.lit(1)).alias("pages"))
+        .agg(F.count(F.lit(1)).alias("pages"), F.sum("x.sizes").alias("mass"))
     )
     counted = (
-        texts.join(named, ["host", "kind"])
-        .groupBy("host", F.expr("slots[node]").alias("slot"), "hash").agg(F.sum("pages").alias("pages"))
+        lookup(texts, named, ["host", "kind"], "inner", spread_by=["node", "hash"])
+        .groupBy("host", F.expr("slots[node]").alias("slot"), "hash")
+        .agg(F.sum("pages").alias("pages"), F.sum("mass").alias("mass"))
         .groupBy("host", "slot").agg(
-            F.sum("pages").alias("pages"), F.max("pages").alias("top"), F.count(F.lit(1)).alias("texts"))
+            F.sum("pages").alias("pages"), F.max("pages").alias("top"), F.count(F.lit(1)).alias("texts"),
+            F.sum("mass").alias("mass"))
+    )
+    fixed = (
+        ((F.col("top") >= least_pages) & (F.col("top") >= common * F.col("pages")))
+        | (F.col("texts") <= few * F.col("pages"))
     )
-    fixed = counted.filter(
-        (F.col("pages") >= least_pages)
-        & ((F.col("top") >= common * F.col("pages")) | ((F.col("pages") >= 5) & (F.col("texts") <= few * F.col("pages"))))
-    ).select("host", "slot")
-    template = (
+    known = (
         named.select("host", "kind", F.posexplode("slots").alias("node", "slot"))
-        .join(fixed, ["host", "slot"]).groupBy("host", "kind").agg(F.collect_list("node").alias("template"))
+        .join(counted.select("host", "slot", fixed.alias("fixed"), "mass"), ["host", "slot"])
+        .groupBy("host", "kind").agg(F.collect_list(F.struct("node", "fixed", "mass")).alias("known"))
     )
 
     def decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({
-                "host": batch["host"], "kind": batch["kind"],
-                "kept": [
-                    content_nodes(json.loads(s), set() if t is None else set(t))
-                    for s, t in zip(batch["skeleton"], batch["template"])
-                ],
-            })
+            kept = []
+            for text, known in zip(batch["skeleton"], batch["known"]):
+                skeleton = json.loads(text)
+                mass, template = [0] * len(skeleton), set()
+                for slot in [] if known is None else known:
+                    mass[slot["node"]] = int(slot["mass"])
+                    if slot["fixed"]:
+                        template.add(slot["node"])
+                kept.append(content_nodes(skeleton, template, mass))
+            yield pd.DataFrame({"host": batch["host"], "kind": batch["kind"], "kept": kept})
 
     content = written(
-        kinds.join(template, ["host", "kind"], "left").select("host", "kind", "skeleton", "template")
+        kinds.join(known, ["host", "kind"], "left").select("host", "kind", "skeleton", "known")
         .mapInPandas(decided, "host string, kind long, kept array<int>"),
         "content",
     )
     chosen = F.expr("array_join(filter(texts, (t, i) -> array_contains(kept, nodes[i])), '\\n')")
+    rows = read.select("page_id", "url", "host", "kind", "nodes", "texts").withColumn("row", F.monotonically_increasing_id())
     return (
-        read.select("page_id", "url", "host", "kind", "nodes", "texts").join(content, ["host", "kind"])
+        lookup(rows, content, ["host", "kind"], "inner", spread_by="row")
         .select(F.col("page_id").cast("long").alias("page_id"), "url", chosen.alias("text"))
         .withColumn("n_chars", F.length("text").cast("long"))
     )
