@@ -104,7 +104,11 @@ def fit_arrays(
     weights = np.zeros(1 << bits, dtype=np.float32)
     if not rows or n_grades < 2:
         return OrdinalModel(weights, np.zeros(max(1, n_grades - 1)), bits)
-    often = np.bincount(np.concatenate(rows), minlength=1 << bits) >= min_rows
+    # Row by row: a row names a bucket once, and one array of all rows would be held three times over.
+    seen = np.zeros(1 << bits, dtype=np.int32)
+    for r in rows:
+        seen[r] += 1
+    often = seen >= min_rows
     kept = [r[often[r]] for r in rows]
     scale = np.array([len(r) for r in rows], dtype=np.float64) ** -0.25
     squares = np.full(1 << bits, 1e-6, dtype=np.float32)
@@ -175,12 +179,13 @@ def fit(
             })
 
     features = rated.mapInPandas(hashed, "doc_id long, grade int, buckets binary")
-    got = features.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets")).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return fit_arrays(
-        [np.frombuffer(r["buckets"], dtype=np.int32) for r in got],
-        np.array([r["grade"] for r in got], dtype=np.int64), n_grades, bits,
+    one = features.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets"))
+    # Partition by partition, so that the JVM of the driver never holds the whole sample.
+    got = sorted(
+        ((r["doc_id"], r["grade"], np.frombuffer(r["buckets"], dtype=np.int32)) for r in one.toLocalIterator()),
+        key=lambda r: r[0],
     )
+    return fit_arrays([r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64), n_grades, bits)
 
 
 def score(documents: DataFrame, model: OrdinalModel, good: int = 2) -> DataFrame:
