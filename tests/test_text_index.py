@@ -3,13 +3,14 @@
 import contextlib
 import io
 import random
+import re
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from vacantia.operators import keywords as kw
-from vacantia.operators import text_index
+from vacantia.operators import stored_index, text_index
 from vacantia.operators.stored_index import StoredIndex
 from vacantia.plans.search import SearchFilters, matching
 from vacantia.schema import APPLICATIONS, POSTINGS
@@ -165,6 +166,39 @@ def test_an_update_leaves_earlier_segments_alone(spark, jobs, tmp_path):
     assert again.manifest.segments == (0, 1, 2) and "3" not in ids(again.keys())
 
 
+def test_tasks_get_slices_of_bounded_text(spark, jobs, tmp_path, monkeypatch):
+    """A larger table means more tasks, not larger ones: entries are not gathered by bucket and part."""
+    monkeypatch.setattr(stored_index, "SLICE", 1000)
+    index = StoredIndex.create(jobs, str(tmp_path / "index"), 4, 2, fields=FIELDS)
+    files = {}
+    for f in (tmp_path / "index" / "postings").rglob("*.parquet"):
+        files.setdefault(f.parent.name, []).append(f)
+    assert max(map(len, files.values())) > 2
+    for f in sum(files.values(), []):
+        tokens = [r.token for r in spark.read.parquet(str(f)).select("token").collect()]
+        assert tokens == sorted(tokens)
+    assert flat(index.postings()) == flat(text_index.build_index(jobs, fields=FIELDS))
+    assert flat(index.compact().postings()) == flat(index.postings())
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1_000_000])
+def test_entries_of_odd_rows(spark, at_once, monkeypatch):
+    monkeypatch.setattr(text_index, "TOKENS_AT_ONCE", at_once)
+    texts = [None, "", " ", "..,", "b a b", " b", "b ", "--b--É e\u0301 b", "日本 b 日本", "a\nb\ta", "x" * 5000, "b" + " a b" * 300]
+    keys = [1, 1, None, 2, 3, 3, None, 4, 5, 6, 7, 8]
+    rows = [(k, t, [t, None, "b c"] if i % 2 else None) for i, (k, t) in enumerate(zip(keys, texts))]
+    jobs = spark.createDataFrame(rows, "job_id long, body string, tags array<string>").coalesce(2)
+    index = text_index.build_index(jobs, fields=["body", "tags"])
+    assert dict(index.dtypes) == {"token": "string", "field": "string", "job_id": "bigint", "positions": "array<int>"}
+    expected = []
+    for k, body, tags in rows:
+        for field, text in (("body", body), ("tags", None if tags is None else " ".join(x for x in tags if x is not None))):
+            words = re.findall(r"[^\W_]+", (text or "").lower().replace("e\u0301", "e").replace("é", "e"))
+            expected += [(w, field, k, tuple(i for i, x in enumerate(words) if x == w)) for w in set(words)]
+    found = [(r.token, r.field, r.job_id, tuple(r.positions)) for r in index.collect()]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 def test_an_empty_table(spark, jobs, tmp_path):
     index = StoredIndex.create(jobs.limit(0), str(tmp_path / "index"), 4, 2, fields=FIELDS)
     assert index.search("ab").count() == 0 and index.keys().count() == 0
