@@ -52,6 +52,24 @@ def test_scores_keep_every_row(docs, scratch):
     assert not nothing.weights.any()
 
 
+def test_the_sample_stays_off_the_driver(docs, scratch, monkeypatch):
+    """The driver gets a model, not the features it is fitted on; the model is that of a plain fit."""
+    rng = random.Random(5)
+    texts = [(i, words(rng, 40)) for i in range(60)]
+    ratings = scratch.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    frame = type(ratings)
+    plain, sent = frame.collect, []
+    monkeypatch.setattr(frame, "toLocalIterator", lambda *a: pytest.fail("rows are read one by one"))
+    monkeypatch.setattr(frame, "collect", lambda df: sent.extend(rows := plain(df)) or rows)
+    model = quality.fit(docs(texts), ratings, bits=12)
+    monkeypatch.undo()
+    assert len(sent) == 1
+    features = quality.Featurizer(12)
+    expected = quality.fit_arrays([features(t) for _, t in texts], np.arange(60) % 3, 3, bits=12)
+    assert model.weights.any() and np.array_equal(model.weights, expected.weights)
+    assert np.array_equal(model.cuts, expected.cuts)
+
+
 def test_held_out_accuracy(scratch):
     sf = "/root/testdata/sf0.01"
     documents = scratch.read.parquet(f"{sf}/documents.parquet")

@@ -159,8 +159,9 @@ def fit(
 ) -> OrdinalModel:
     """Fit on rated documents: all of them, or the ``sample_rows`` first by key hash if there are more.
 
-    The sample's ids are few and bounded, so they are broadcast; its hashed features, not its
-    texts, come to the driver, one row per id: of several documents with one id the one with the
+    The sample's ids are few and bounded, so they are broadcast. Its hashed features, not its
+    texts, go to one task, which fits the model on them; the driver gets the weights that are not 0
+    and the cuts alone. One row per id: of several documents with one id the one with the
     least features in byte order counts. A document rated twice counts once, with its lowest grade.
     With no rated rows all weights are 0.
     """
@@ -180,12 +181,24 @@ def fit(
 
     features = rated.mapInPandas(hashed, "doc_id long, grade int, buckets binary")
     one = features.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("buckets").alias("buckets"))
-    # Partition by partition, so that the JVM of the driver never holds the whole sample.
-    got = sorted(
-        ((r["doc_id"], r["grade"], np.frombuffer(r["buckets"], dtype=np.int32)) for r in one.toLocalIterator()),
-        key=lambda r: r[0],
-    )
-    return fit_arrays([r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64), n_grades, bits)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = sorted(
+            ((d, g, np.frombuffer(b, dtype=np.int32)) for batch in batches
+             for d, g, b in zip(batch["doc_id"], batch["grade"], batch["buckets"])),
+            key=lambda r: r[0],
+        )
+        model = fit_arrays([r[2] for r in got], np.array([r[1] for r in got], dtype=np.int64), n_grades, bits)
+        at = np.flatnonzero(model.weights).astype(np.int32)
+        yield pd.DataFrame({
+            "at": [at.tobytes()], "weights": [model.weights[at].tobytes()], "cuts": [model.cuts.tobytes()]})
+
+    found = one.repartition(1).mapInPandas(fitted, "at binary, weights binary, cuts binary").collect()
+    weights, cuts = np.zeros(1 << bits, dtype=np.float32), np.zeros(max(1, n_grades - 1))
+    for r in found:  # one row, or none where nothing is rated
+        weights[np.frombuffer(r["at"], dtype=np.int32)] = np.frombuffer(r["weights"], dtype=np.float32)
+        cuts = np.frombuffer(r["cuts"], dtype=np.float64)
+    return OrdinalModel(weights, cuts, bits)
 
 
 def score(documents: DataFrame, model: OrdinalModel, good: int = 2) -> DataFrame:
