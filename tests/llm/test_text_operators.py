@@ -320,3 +320,15 @@ def test_near_duplicates_of_odd_rows(docs):
     assert got == Counter([(None, None, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (4, 4, 1), (5, 5, 0)])
     assert Counter(r.doc_id for r in jaccard.one_per_class(rows, found).collect()) == Counter([None, 1, 2, 3, 4, 5])
     assert jaccard.similar_documents(docs([])).count() == 0
+
+
+def test_merges_in_tables_are_those_of_the_linked_replay():
+    rng, replay = random.Random(3), bpe.MergeReplay(RANKS)
+    letters = [b"etaoin shrdlu", bytes(range(256)), "éàü日本ß ".encode(), b"aaab", b"0123.,"]
+    asked = [bytes(rng.choice(x) for _ in range(rng.randrange(1, 45))) for x in letters for _ in range(300)]
+    assert replay.encode([b"", *asked, b"a"]) == [[], *replay._encode_linked([*asked, b"a"])]
+    lengths = {len(w) for w in asked}
+    assert min(lengths) < bpe._WIDTHS[0] and max(lengths) > bpe._WIDTHS[-1]
+    for width in bpe._WIDTHS:
+        fit = [w for w in asked if len(w) <= width]
+        assert replay._encode_table(fit, width) == replay._encode_linked(fit)

@@ -7,17 +7,27 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.words import WordwiseEncoder
 
+#: Words of up to so many bytes are merged in tables of equal width; a table has at most ``_ROWS`` words.
+_WIDTHS = (4, 6, 8, 12, 16, 24, 32)
+_ROWS = 20_000
+_NO_RANK = np.iinfo(np.int32).max
+
 
 class MergeReplay:
     """Applies the merges of a rank file to many words together, in rank order.
 
-    All words lie in one linked sequence of tokens. An inverted index maps a merge's rank to the
+    Words of ordinary length lie in the rows of a table, with the ranks of their neighbouring pairs
+    beside them. In each round every word that still has a pair with a rank merges its lowest one,
+    the leftmost of equals, and looks up the two pairs it touched.
+
+    Longer words lie in one linked sequence of tokens. An inverted index maps a merge's rank to the
     positions where its pair stands. The lowest rank is taken, its positions are merged from left
     to right, and only the pairs with the two touched neighbours are looked up anew. Words do not
     touch each other, so the result for a word is that of encoding it alone.
@@ -31,6 +41,7 @@ class MergeReplay:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
         self._pairs: dict[tuple[int, int], int | None] = {}
+        self._table: tuple[np.ndarray, np.ndarray] | None = None
 
     def _rank(self, a: int, b: int) -> int | None:
         pairs = self._pairs
@@ -42,8 +53,81 @@ class MergeReplay:
             found = pairs[a, b] = self.ranks.get(self.tokens[a] + self.tokens[b])
             return found
 
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of tokens that make a token, as sorted numbers, and the ranks of what they make."""
+        if self._table is None:
+            ranks, found = self.ranks.get, {}
+            for token, rank in self.ranks.items():
+                for i in range(1, len(token)):
+                    a = ranks(token[:i])
+                    if a is not None:
+                        b = ranks(token[i:])
+                        if b is not None:
+                            found[a << 32 | b] = rank
+            keys = np.array(sorted(found), dtype=np.int64)
+            made = np.array([found[k] for k in keys.tolist()], dtype=np.int32)
+            # A last one that no pair is equal to, for pairs beyond the others.
+            self._table = np.append(keys, np.iinfo(np.int64).max), np.append(made, _NO_RANK)
+        return self._table
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs make; a negative token stands for none."""
+        keys, made = self._pair_table()
+        asked = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(keys, asked)
+        return np.where((keys[at] == asked) & (a >= 0) & (b >= 0), made[at], _NO_RANK)
+
+    def _encode_table(self, words: list[bytes], width: int) -> list[list[int]]:
+        """Token ids of words of at most ``width`` bytes."""
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), dtype=np.uint8).reshape(-1, width)
+        size = np.array([len(w) for w in words])
+        # One column more, always empty, so that a row can move up by one.
+        ids = np.full((len(words), width + 1), -1, dtype=np.int32)
+        ids[:, :width] = np.where(np.arange(width) < size[:, None], np.array(self.of_byte, dtype=np.int32)[raw], -1)
+        best = np.full((len(words), width + 1), _NO_RANK, dtype=np.int32)
+        best[:, :width] = self._ranks_of(ids[:, :-1], ids[:, 1:])
+        row, out = np.arange(len(words)), [[]] * len(words)
+        columns = np.arange(width + 1)
+        while len(row):
+            at = best.argmin(axis=1)
+            rank = best[np.arange(len(row)), at]
+            over = rank == _NO_RANK
+            if over.any():
+                sizes = (ids[over] >= 0).sum(axis=1).tolist()
+                for i, n, found in zip(row[over].tolist(), sizes, ids[over].tolist()):
+                    out[i] = found[:n]
+                more = ~over
+                row, ids, best, at, rank = row[more], ids[more], best[more], at[more], rank[more]
+            moved = np.minimum(columns + (columns > at[:, None]), width)
+            ids, best = np.take_along_axis(ids, moved, 1), np.take_along_axis(best, moved, 1)
+            each = np.arange(len(row))
+            ids[each, at] = rank
+            best[each, at] = self._ranks_of(rank, ids[each, at + 1])
+            later = np.flatnonzero(at)
+            before = at[later] - 1
+            best[later, before] = self._ranks_of(ids[later, before], rank[later])
+        return out
+
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word, as byte-pair encoding by rank gives them."""
+        out: list[list[int]] = [[]] * len(words)
+        by_width: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[i] = [whole]
+            elif word:
+                by_width.setdefault(next((w for w in _WIDTHS if len(word) <= w), 0), []).append(i)
+        for width, places in by_width.items():
+            for at in range(0, len(places), _ROWS):
+                part = places[at:at + _ROWS]
+                some = [words[i] for i in part]
+                for i, ids in zip(part, self._encode_table(some, width) if width else self._encode_linked(some)):
+                    out[i] = ids
+        return out
+
+    def _encode_linked(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of words of any length."""
         ids: list[int] = []
         after: list[int] = []
         before: list[int] = []
