@@ -181,6 +181,79 @@ def test_tasks_get_slices_of_bounded_text(spark, jobs, tmp_path, monkeypatch):
     assert flat(index.compact().postings()) == flat(index.postings())
 
 
+def folding(index, monkeypatch, **kw):
+    """The folded index, and what each shuffle of the folding moves."""
+    plans, write = [], StoredIndex._write
+
+    def spied(self, entries, *rest):
+        write(self, entries, *rest)
+        plans.append(plan(entries))
+
+    with monkeypatch.context() as patch:
+        patch.setattr(StoredIndex, "_write", spied)
+        folded = index.compact(**kw)
+    return folded, re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plans[-1]), plans[-1]
+
+
+def test_folding_leaves_entries_in_their_slices(spark, jobs, rows, tmp_path, monkeypatch):
+    """Only the entries of a smaller segment and keys are shuffled, whatever the size; no keys are broadcast."""
+    monkeypatch.setattr(stored_index, "SLICE", 1000)
+    index = StoredIndex.create(jobs, str(tmp_path / "index"), 4, 2, fields=FIELDS)
+    slices = index.manifest.slices[0]
+    few = jobs.filter("CAST(job_id AS INT) % 50 = 0").withColumn("body", F.lit("fresh words"))
+    index = index.upsert(few).delete(jobs.filter("CAST(job_id AS INT) % 7 = 0").select("job_id"))
+    assert slices > 2 * index.manifest.slices[1] > 0 == index.manifest.slices[2]
+
+    once, moved, text = folding(index, monkeypatch, upto=index.manifest.segments[1])
+    assert sum("positions" in m for m in moved) == 1 and "Broadcast" not in text and "Bucketed: true" in text
+    assert flat(once.postings()) == flat(index.postings())
+    assert once.manifest.slices == (slices, 0) and StoredIndex.open(spark, once.path).manifest == once.manifest
+    folded, moved, text = folding(once, monkeypatch)
+    assert moved and not any("positions" in m for m in moved[:1]) and "Broadcast" not in text
+    assert flat(folded.postings()) == flat(index.postings()) and ids(folded.keys()) == ids(index.keys())
+    assert ids(folded.search("fresh")) == sorted(r.job_id for r in few.collect() if int(r.job_id) % 7)
+    for f in (tmp_path / "index" / "postings" / f"segment={once.manifest.segments[0]}").rglob("*.parquet"):
+        keys = spark.read.parquet(str(f)).select(stored_index.key_slice("job_id", slices)).distinct().collect()
+        assert len(keys) == 1
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("vacantia_index")]
+
+
+def test_slices_grow_with_the_postings(jobs, tmp_path, monkeypatch):
+    index = StoredIndex.create(jobs.limit(0), str(tmp_path / "index"), 4, 2, fields=FIELDS).upsert(jobs)
+    assert index.manifest.slices == (1, 1)
+    monkeypatch.setattr(stored_index, "SLICE", 500)
+    grown = index.compact()
+    assert grown.manifest.slices[0] > 8
+    assert flat(grown.postings()) == flat(index.postings())
+    assert grown.upsert(jobs.limit(3)).compact().manifest.slices == grown.manifest.slices
+
+
+def test_folding_with_null_and_repeated_keys(spark, jobs, tmp_path):
+    odd = spark.createDataFrame(
+        [(None, "ab", "", "c"), (None, "b", "", ""), ("1", "ab", "", "c"), ("1", "d", "", "c"), ("2", None, None, None), ("3", "c", "", "")],
+        jobs.schema)
+    index = StoredIndex.create(odd, str(tmp_path / "it's 1 index"), 4, 2, fields=FIELDS)
+    for later in (index, index.upsert(odd.filter("job_id IS NULL OR job_id = '3'")), index.delete(odd.select("job_id"))):
+        folded = later.compact()
+        assert sorted(map(str, folded.postings().collect())) == sorted(map(str, later.postings().collect()))
+        assert sorted(map(str, folded.keys().collect())) == sorted(map(str, later.keys().collect()))
+
+
+def test_an_index_stored_without_slices(spark, jobs, tmp_path):
+    """As written by earlier versions: files that are not bucketed, no bytes beside the keys."""
+    path = str(tmp_path / "index")
+    entries = text_index.build_index(jobs, fields=FIELDS).withColumn("token_bucket", stored_index.token_bucket(F.col("token"), 4))
+    entries.repartition(3).write.partitionBy("token_bucket").parquet(f"{path}/postings/segment=0")
+    jobs.select("job_id", F.lit(True).alias("live")).write.parquet(f"{path}/keys/segment=0")
+    body = '{"segments": [0], "buckets": 4, "files_per_bucket": 2, "key": "job_id", "fields": ["title", "company", "body"]}'
+    spark.createDataFrame([(1, body)], "version long, body string").coalesce(1).write.json(f"{path}/manifest")
+    index = StoredIndex.open(spark, path).upsert(jobs.limit(5).withColumn("body", F.lit("fresh")))
+    assert index.manifest.slices == (0, 1) and index.search("fresh").count() == 5
+    folded = index.compact()
+    assert flat(folded.postings()) == flat(index.postings())
+    assert ids(folded.keys()) == ids(jobs.select("job_id"))
+
+
 @pytest.mark.parametrize("at_once", [1, 7, 1_000_000])
 def test_entries_of_odd_rows(spark, at_once, monkeypatch):
     monkeypatch.setattr(text_index, "TOKENS_AT_ONCE", at_once)
